@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import Scratch, read
-from . import contributors, mixing, tokens
+from . import contributors, mixing, near_duplicates, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,38 @@ def p1_reservoir(spark: SparkSession, d: str) -> DataFrame:
     return _capped(spark, d, power=4.0).filter("kept").select("id", "contributor", "place")
 
 
+def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    articles = read(spark, d, "extracted_articles")
+    return articles, site_lines.repeated_lines(articles, Scratch(spark, "p2"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.exact_lines(_repeated(spark, d)[1])
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each article's text without the lines of its site's repeated clusters."""
+    articles, repeated = _repeated(spark, d)
+    return site_lines.without_lines(articles.dropDuplicates(["article_id", "text"]), repeated)
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "extracted_articles").select(F.col("article_id").alias("id"), F.col("extracted_at").alias("version"), "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    setup = near_duplicates.Setup(words=3, similarity=0.6, bands=32, rows=3, bags=False)
+    found = near_duplicates.classes(_articles(spark, d), Scratch(spark, "p3"), setup)
+    return near_duplicates.pairs_of_members(found).select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by weighted similarity of 0.8 or more over multisets of five words."""
+    scratch = Scratch(spark, "p3")
+    found = near_duplicates.classes(_articles(spark, d), scratch, near_duplicates.Setup())
+    return near_duplicates.groups(found, scratch).withColumnRenamed("id", "article_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -68,7 +100,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, False)[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents)}
 
 _P1_PLACES = r"""
 with latest as (
@@ -97,4 +129,21 @@ placed as (
 SQL: dict[str, str] = {
     "p1_found": _P1_PLACES + "select id from placed where place > (n * 2) // 100",
     "p1_pool": _P1_PLACES + "select id, contributor, score as intrinsic_score, place from placed where place <= (n * 2) // 100",
+    "p2_found": r"""
+with parts as (select distinct source_id, article_id, string_split(text, chr(10)) lines from extracted_articles where text is not null),
+lines as (select source_id, article_id, unnest(lines) line, unnest(range(len(lines))) line_no from parts),
+keyed as (select source_id, article_id, cast(line_no as int) line_no, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') key from lines),
+sizes as (select source_id, count(distinct article_id) n from extracted_articles group by source_id),
+repeated as (
+  select k.source_id, key from keyed k join sizes s on s.source_id = k.source_id where length(key) >= 3
+  group by k.source_id, key, s.n having count(distinct article_id) >= 3 and count(distinct article_id) * 20 >= s.n)
+select distinct article_id, line_no from keyed join repeated using (source_id, key)""",
+    "p3_found": r"""
+with texts as (select article_id, arg_max(text, extracted_at) text from extracted_articles where text is not null group by article_id),
+words as (select article_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from texts),
+sets as (select article_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from words where len(w) >= 3),
+posts as (select article_id, len(s) n, unnest(s) x from sets),
+common as (
+  select a.article_id a, b.article_id b, a.n na, b.n nb, count(*) shared from posts a join posts b on a.x = b.x and a.article_id < b.article_id group by all)
+select a as article_id_a, b as article_id_b from common where shared >= 0.6 * (na + nb - shared)""",
 }
