@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import Scratch, read
-from . import contributors, mixing, near_duplicates, site_lines, tokens
+from . import contributors, mixing, near_duplicates, shared_spans, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,7 +100,21 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, False)[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents)}
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, shared_spans.Runs]:
+    scratch, documents = Scratch(spark, "p9"), read(spark, d, "documents")
+    return documents, shared_spans.runs(shared_spans.repeated_windows(documents, scratch), scratch)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.pairs(_runs(spark, d)[1]).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands elsewhere."""
+    return shared_spans.covered(*_runs(spark, d))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
 
 _P1_PLACES = r"""
 with latest as (
@@ -146,4 +160,9 @@ posts as (select article_id, len(s) n, unnest(s) x from sets),
 common as (
   select a.article_id a, b.article_id b, a.n na, b.n nb, count(*) shared from posts a join posts b on a.x = b.x and a.article_id < b.article_id group by all)
 select a as article_id_a, b as article_id_b from common where shared >= 0.6 * (na + nb - shared)""",
+    "p9_found": """
+with long as (select doc_id, text, length(text) n from documents where length(text) >= 200),
+places as (select doc_id, text, unnest(range(1, n - 198)) i from long),
+windows as (select distinct doc_id, hash(substring(text, i, 200)) h from places)
+select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from windows a join windows b on a.h = b.h and a.doc_id < b.doc_id""",
 }
