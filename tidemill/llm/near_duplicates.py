@@ -48,36 +48,42 @@ class Setup:
         return self.bands * self.rows
 
 
-def bag_min_hash(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The registers' earliest times, as 64-bit words that agree only for the same point."""
+def bag_min_hash(elements: np.ndarray, weights: np.ndarray, lengths: np.ndarray, registers: int) -> np.ndarray:
+    """A row of registers per text: their earliest times, as 64-bit words that agree only for the same point.
+
+    `elements` and `weights` of the texts stand one after the other, `lengths` (1 at least) of them for each text.
+    """
+    text = np.repeat(np.arange(len(lengths)), lengths)
     blocks = np.floor(np.log2(weights)).astype(np.int64)
+    owner = np.arange(len(elements))
     if blocks.any():
         repeat = blocks + 1
-        owner = np.repeat(np.arange(len(elements)), repeat)
-        block = np.arange(len(owner)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-    else:
-        owner, block = np.arange(len(elements)), np.zeros(len(elements), dtype=np.int64)
-    seeds = mix64(elements[owner] + block.astype(np.uint64) * _BLOCK)
-    rate, owned = np.exp2(block), weights[owner]
-    limit = registers * (np.log(registers) + _FILL) / weights.sum()
+        owner = np.repeat(owner, repeat)
+        blocks = np.arange(len(owner)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    seeds = mix64(elements[owner] + blocks.astype(np.uint64) * _BLOCK)
+    rates, owned, texts = np.exp2(blocks), weights[owner], text[owner]
+    limits = registers * (np.log(registers) + _FILL) / np.bincount(text, weights, len(lengths))
+    earliest = np.full(len(lengths) * registers, np.inf)
+    open_texts = np.ones(len(lengths), dtype=bool)
     while True:
-        earliest = np.full(registers, np.inf)
-        live, time = np.arange(len(seeds)), np.zeros(len(seeds))
-        state = seeds
-        while len(live):
+        live = np.flatnonzero(open_texts[texts])
+        state, at, rate, own, most = seeds[live], texts[live], rates[live], owned[live], limits[texts[live]]
+        time = np.zeros(len(live))
+        while len(state):
             state = state + _STEP
             draw = mix64(state)
-            time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[live]
-            on = time < limit
-            live, time, state, draw = live[on], time[on], state[on], draw[on]
+            time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+            on = np.flatnonzero(time < most)
+            time, state, draw, at, rate, own, most = time[on], state[on], draw[on], at[on], rate[on], own[on], most[on]
             fall = mix64(draw ^ _BLOCK)
-            at = ((fall >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
-            level = rate[live] + np.floor((fall & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[live])
-            hit = level <= owned[live]
-            np.minimum.at(earliest, at[hit].astype(np.int64), time[hit])
-        if np.isfinite(earliest).all():
-            return mix64(earliest.view(np.uint64))
-        limit *= 2
+            register = (((fall >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
+            level = rate + np.floor((fall & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate)
+            hit = level <= own
+            np.minimum.at(earliest, (at * registers + register)[hit], time[hit])
+        open_texts = ~np.isfinite(earliest).reshape(len(lengths), registers).all(axis=1)
+        if not open_texts.any():
+            return mix64(earliest.view(np.uint64)).reshape(len(lengths), registers)
+        limits[open_texts] *= 2
 
 
 class Shingler:
@@ -107,8 +113,13 @@ class Shingler:
 
 
 def multiset(shingles: np.ndarray, bags: bool) -> tuple[np.ndarray, np.ndarray]:
+    if not bags:
+        elements = np.sort(shingles)
+        if len(elements) > 1:
+            elements = elements[np.concatenate([[True], elements[1:] != elements[:-1]])]
+        return elements, np.ones(len(elements))
     elements, counts = np.unique(shingles, return_counts=True)
-    return elements, counts.astype(np.float64) if bags else np.ones(len(elements))
+    return elements, counts.astype(np.float64)
 
 
 def sketches(records: DataFrame, setup: Setup) -> DataFrame:
@@ -117,21 +128,27 @@ def sketches(records: DataFrame, setup: Setup) -> DataFrame:
 
     def make(part: pa.RecordBatch) -> dict:
         shingle = Shingler(setup.words)
-        rows = []
-        for text in part.column(2).to_pylist():
-            elements, weights = multiset(shingle(text), setup.bags)
-            if not len(elements):
-                rows.append((None, None, 0, None, None))
-                continue
-            hi, lo = np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes() + weights.tobytes()), dtype=">i8").tolist()
-            words = bag_min_hash(elements, weights, setup.registers)
-            grid = words.reshape(setup.bands, setup.rows)
-            band = mix64(np.arange(1, setup.bands + 1, dtype=np.uint64))
+        n = part.num_rows
+        hi, lo, size, signature, bands = [None] * n, [None] * n, [0] * n, [None] * n, [None] * n
+        filled, elements, weights = [], [], []
+        for row, text in enumerate(part.column(2).to_pylist()):
+            e, w = multiset(shingle(text), setup.bags)
+            if len(e):
+                filled.append(row)
+                elements.append(e)
+                weights.append(w)
+                size[row] = int(w.sum())
+                hi[row], lo[row] = np.frombuffer(xxhash.xxh3_128_digest(e.tobytes() + w.tobytes() if setup.bags else e.tobytes()), dtype=">i8").tolist()
+        if filled:
+            words = bag_min_hash(np.concatenate(elements), np.concatenate(weights), np.fromiter(map(len, elements), np.int64, len(elements)), setup.registers)
+            grid = words.reshape(-1, setup.bands, setup.rows)
+            band = np.broadcast_to(mix64(np.arange(1, setup.bands + 1, dtype=np.uint64)), grid.shape[:2])
             for k in range(setup.rows):
-                band = mix64(band ^ grid[:, k]) + np.uint64(k)
-            rows.append((hi, lo, int(weights.sum()), (words >> np.uint64(56)).astype(np.uint8).tobytes(), band.view(np.int64)))
-        hi, lo, size, signature, bands = zip(*rows)
-        return {"id": part.column(0), "version": part.column(1), "hi": list(hi), "lo": list(lo), "size": list(size), "signature": list(signature), "bands": list(bands)}
+                band = mix64(band ^ grid[:, :, k]) + np.uint64(k)
+            tops, band = (words >> np.uint64(56)).astype(np.uint8), band.view(np.int64)
+            for at, row in enumerate(filled):
+                signature[row], bands[row] = tops[at].tobytes(), band[at]
+        return {"id": part.column(0), "version": part.column(1), "hi": hi, "lo": lo, "size": size, "signature": signature, "bands": bands}
 
     return map_arrow(records.select("id", "version", "text"), schema, "text", make)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import Scratch, read
-from . import contributors, mixing, near_duplicates, shared_spans, site_lines, tokens
+from . import contributors, mixing, near_duplicates, neighbours, shared_spans, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,34 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(found, scratch).withColumnRenamed("id", "article_id")
 
 
+DIMENSIONS, NEIGHBOURS, LEAST_COSINE = 384, 5, 0.8
+
+
+def _graph(spark: SparkSession, d: str, scratch: Scratch) -> neighbours.Graph:
+    rows = read(spark, d, "article_embeddings").filter("embedding_version = 'emb-v2'").select(F.col("article_id").alias("id"), F.col("created_at").alias("version"), F.col("vec_values").alias("vec"))
+    return neighbours.build(neighbours.vectors(rows, scratch, DIMENSIONS), scratch)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.expanded(_graph(spark, d, Scratch(spark, "p4")), NEIGHBOURS).filter(F.col("cosine") >= LEAST_COSINE)
+    return near.select(F.least("id", "other").alias("article_id_a"), F.greatest("id", "other").alias("article_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest other articles of every article with a usable vector."""
+    near = neighbours.expanded(_graph(spark, d, Scratch(spark, "p4")), NEIGHBOURS)
+    return near.select(F.col("id").alias("article_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy graph search; queries are the articles whose hexadecimal id is divisible by 100."""
+    scratch = Scratch(spark, "p4")
+    graph = _graph(spark, d, scratch)
+    asked = neighbours.raw_rows(graph.vectors).filter((F.conv(F.substring("id", -8, 8), 16, 10).cast("long") + F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(100)) * F.lit(pow(2, 32, 100))) % 100 == 0)
+    near = neighbours.search(graph, asked, scratch, NEIGHBOURS)
+    return near.select(F.col("id").alias("article_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -114,7 +142,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.covered(*_runs(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
 
 _P1_PLACES = r"""
 with latest as (
@@ -165,4 +193,14 @@ with long as (select doc_id, text, length(text) n from documents where length(te
 places as (select doc_id, text, unnest(range(1, n - 198)) i from long),
 windows as (select distinct doc_id, hash(substring(text, i, 200)) h from places)
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from windows a join windows b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p4_found": """
+with usable as (
+  select article_id, arg_max(list_transform(vec_values, lambda x: x::double), created_at) v from article_embeddings
+  where embedding_version = 'emb-v2' and len(vec_values) = 384
+    and len(list_filter(vec_values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec_values, lambda x: x <> 0)) > 0
+  group by article_id),
+scored as (
+  select a.article_id a, b.article_id b, round(list_cosine_similarity(a.v, b.v), 12) c from usable a join usable b on a.article_id <> b.article_id),
+placed as (select a, b, c, row_number() over (partition by a order by c desc, b) place from scored)
+select distinct least(a, b) as article_id_a, greatest(a, b) as article_id_b from placed where place <= 5 and c >= 0.8""",
 }
