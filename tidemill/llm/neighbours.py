@@ -7,8 +7,9 @@ gives the first neighbour lists; a cell with more than CELL_MOST vectors is salt
 brings together. Then neighbours of neighbours meet in Spark joins: pairs not yet compared in a common cell are scored
 on 8-bit codes, the promising ones exactly, and lists are renewed until a round adds almost nothing.
 
-Queries walk the graph greedily: from the entry vectors of their nearest cells, the neighbours of the best vectors seen
-are scored, until the best have all been expanded.
+Queries walk the graph greedily: from the upper vectors (one of UPPER, by hash) of their nearest cells, the neighbours of
+the best vectors seen are scored, until the best have all been expanded. For the walk the graph is taken both ways and
+has links from each vector to the nearest upper vectors beyond its list, so that tight groups aren't islands.
 
 Neighbour lists of the join keep the WIDTH nearest forward and backward neighbours (NN-descent is approximate by
 design); recall against brute force is measured in the tests and given in the README.
@@ -35,6 +36,7 @@ CELL_SIZE, CELL_MOST, CELLS_EACH = 512, 4096, 2
 MOST_CENTRES, SAMPLE_PER_CENTRE, KMEANS_ROUNDS = 2048, 16, 6
 WIDTH, ROUNDS, SETTLED = 10, 4, 0.002
 CODE_ERROR = 0.005
+UPPER, FAR_LINKS, MOST_BACK = 16, 2, 64
 DIGITS = 12
 MOST_BROADCAST = 200_000
 
@@ -166,7 +168,11 @@ def cells_of(v: Vectors, scratch: Scratch) -> tuple[Cells, int]:
     return fitted, n
 
 
-EDGES = "id string, other string, cosine double"
+EDGES = "id string, other string, cosine double, far boolean"
+
+
+def is_upper(id: str) -> bool:
+    return xxhash.xxh3_64_intdigest(id, 77) % UPPER == 0
 
 
 def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,12 +184,14 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     ids = frame["id"].to_numpy()
     n = len(ids)
     if n < 2:
-        return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": str, "other": str, "cosine": float})
+        return pd.DataFrame({"id": [], "other": [], "cosine": [], "far": []}).astype({"id": str, "other": str, "cosine": float, "far": bool})
     raw = np.frombuffer(b"".join(frame["vec"]), dtype=np.float32).reshape(n, -1)
     wide = unit(raw)
     narrow = wide.astype(np.float32)
     k, extra = min(WIDTH, n - 1), min(WIDTH + 4, n - 1)
-    left, right, value = [], [], []
+    left, right, value, far = [], [], [], []
+    upper = np.flatnonzero([is_upper(i) for i in ids])
+    upper = upper if len(upper) else np.array([0])
     for start in range(0, n, 512):
         scores = narrow[start : start + 512] @ narrow.T
         rows = np.arange(len(scores))
@@ -195,7 +203,18 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left.append(np.repeat(ids[start : start + 512], k))
         right.append(ids[np.take_along_axis(best, order, 1).ravel()])
         value.append(np.take_along_axis(exact, order, 1).ravel())
-    return pd.DataFrame({"id": np.concatenate(left), "other": np.concatenate(right), "cosine": np.concatenate(value)})
+        far.append(np.zeros(len(left[-1]), dtype=bool))
+        # Links out of the tight groups: the nearest upper vectors beyond the list.
+        some = scores[:, upper].copy()
+        some[some >= np.take_along_axis(scores, best, 1).min(axis=1, keepdims=True)] = -2
+        few = min(FAR_LINKS, len(upper))
+        best = np.argsort(-some, axis=1, kind="stable")[:, :few]
+        kept = np.take_along_axis(some, best, 1).ravel() > -2
+        left.append(np.repeat(ids[start : start + 512], few)[kept])
+        right.append(ids[upper[best.ravel()]][kept])
+        value.append(np.take_along_axis(some, best, 1).ravel()[kept].astype(np.float64))
+        far.append(np.ones(len(left[-1]), dtype=bool))
+    return pd.DataFrame({"id": np.concatenate(left), "other": np.concatenate(right), "cosine": np.concatenate(value), "far": np.concatenate(far)})
 
 
 def nearest(edges: DataFrame, k: int, by: str = "id") -> DataFrame:
@@ -229,6 +248,7 @@ def raw_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 @dataclass
 class Graph:
     edges: DataFrame  # id, other, cosine: the WIDTH nearest of each class
+    links: DataFrame  # id, other, cosine: links to upper vectors beyond them, which hold the graph together
     vectors: Vectors
     cells: Cells
     rounds: int
@@ -250,7 +270,8 @@ def build(v: Vectors, scratch: Scratch) -> Graph:
 
     spread = v.mapped("cell long, id string, vec binary", placed)
     first = spread.groupBy("cell").applyInPandas(_within, EDGES)
-    edges = scratch.cut(nearest(first.distinct(), WIDTH))
+    first = scratch.cut(first.distinct())
+    edges = scratch.cut(nearest(first.filter("not far").drop("far").distinct(), WIDTH))
 
     def homes(ids, rows):
         at = cells.salted(ids, cells.near(unit(rows).astype(np.float32))) if len(rows) else []
@@ -288,7 +309,7 @@ def build(v: Vectors, scratch: Scratch) -> Graph:
         edges = renewed.drop("new")
         if added <= SETTLED * n * WIDTH:
             break
-    return Graph(edges, v, cells, rounds)
+    return Graph(edges, first.filter("far").drop("far"), v, cells, rounds)
 
 
 def expanded(graph: Graph, k: int) -> DataFrame:
@@ -315,13 +336,12 @@ def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, keep:
 
     def entries(ids, rows):
         if not len(rows):
-            return {"cell": [], "id": [], "score": []}
+            return {"cell": [], "other": []}
         units = unit(rows).astype(np.float32)
-        at = cells.near(units, 1)[:, 0]
-        centre = cells.centres[at >> len(cells.planes)]
-        return {"cell": at, "id": ids, "score": np.einsum("ij,ij->i", units, centre).astype(np.float64)}
+        up = np.flatnonzero([is_upper(i) for i in ids])
+        return {"cell": cells.near(units, 1)[up, 0], "other": [ids[i] for i in up]}
 
-    entry = v.mapped("cell long, id string, score double", entries).groupBy("cell").agg(F.max_by("id", F.struct("score", "id")).alias("other"))
+    entry = v.mapped("cell long, other string", entries)
 
     def starts(part: pa.RecordBatch) -> dict:
         ids, rows = part.column(0).to_pylist(), [np.frombuffer(b, dtype=np.float32) for b in part.column(1).to_pylist()]
@@ -330,7 +350,8 @@ def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, keep:
 
     asked = scratch.cut(queries.select("id", "vec"))
     raw = scratch.cut(raw_rows(v).withColumnRenamed("id", "other").withColumnRenamed("vec", "q"))
-    graph_edges = graph.edges.select(F.col("id").alias("via"), "other")
+    turned = [e.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine") for e in (nearest(graph.edges, WIDTH, "other"), nearest(graph.links, MOST_BACK, "other"))]
+    graph_edges = scratch.cut(graph.edges.unionByName(graph.links).unionByName(turned[0]).unionByName(turned[1]).select(F.col("id").alias("via"), "other").distinct())
 
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().filter("id != other").join(asked, "id").join(raw, "other").select("id", "other", raw_cosine("vec", "q").alias("cosine"))
