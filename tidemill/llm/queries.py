@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..tables import Scratch, read
-from . import contributors, mixing, near_duplicates, neighbours, shared_spans, site_lines, tokens
+from ..tables import Scratch, latest_rows, read
+from . import contributors, mixing, near_duplicates, neighbours, page_body, shared_spans, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,22 @@ def p4_search(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("article_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "discovered_articles").select(F.col("article_id").alias("id"), "discovered_at", "text", F.col("inline_html").alias("markup"), "title", F.col("source_id").alias("source"), "author", F.col("extraction_confidence").alias("confidence"))
+    return latest_rows(pages, "id", [F.col("discovered_at")]).drop("discovered_at")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    return page_body.furniture_lines(pages, Scratch(spark, "p5")).select(F.col("id").alias("article_id"), "line_no")
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's main body and its share of the text, beside the confidence of the extraction."""
+    pages = _pages(spark, d)
+    return page_body.bodies(pages, page_body.furniture_lines(pages, Scratch(spark, "p5"))).withColumnRenamed("id", "article_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -142,7 +158,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.covered(*_runs(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_bodies, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
 
 _P1_PLACES = r"""
 with latest as (
