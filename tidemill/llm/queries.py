@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import Scratch, latest_rows, read
-from . import contributors, mixing, near_duplicates, neighbours, page_body, shared_spans, site_lines, tokens
+from . import contributors, email_body, mixing, near_duplicates, neighbours, page_body, shared_spans, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,21 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     return page_body.bodies(pages, page_body.furniture_lines(pages, Scratch(spark, "p5"))).withColumnRenamed("id", "article_id")
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    mail = read(spark, d, "email_payloads").select(F.col("message_id").alias("id"), "subject", "author", F.col("from_address").alias("sender"), F.col("received_at").alias("at"), F.col("text_body").alias("text"), F.when(F.col("text_body").isNull(), F.col("html_body")).alias("html"))
+    return latest_rows(mail, "id", [F.col("at")])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return email_body.not_newly_written(_messages(spark, d), Scratch(spark, "p6")).select(F.col("id").alias("message_id"), "line_no")
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The newly written text of every message."""
+    mail = _messages(spark, d)
+    return email_body.bodies(mail, email_body.not_newly_written(mail, Scratch(spark, "p6"))).withColumnRenamed("id", "message_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -158,7 +173,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.covered(*_runs(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_bodies, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pool, p1_reservoir, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_neighbours, p4_search, p5_found, p5_bodies, p6_found, p6_bodies, p7_ids, p7_counts, p8_found, p8_mix, p8_tempered, p8_documents, p9_found, p9_shared)}
 
 _P1_PLACES = r"""
 with latest as (
