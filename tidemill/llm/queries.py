@@ -213,7 +213,7 @@ repeated as (
 select distinct article_id, line_no from keyed join repeated using (source_id, key)""",
     "p3_found": r"""
 with texts as (select article_id, arg_max(text, extracted_at) text from extracted_articles where text is not null group by article_id),
-words as (select article_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from texts),
+words as (select article_id, regexp_extract_all(lower(replace(text, 'İ', 'i' || chr(775))), '[\p{L}\p{N}]+') w from texts),
 sets as (select article_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from words where len(w) >= 3),
 posts as (select article_id, len(s) n, unnest(s) x from sets),
 common as (
