@@ -100,8 +100,8 @@ def feature_hash_embedding(df: DataFrame, id: str, title: str, text: str, dimens
 
 
 def theme_of(title: Column, text: Column, themes: list[tuple[str, str]], default: str, first: int = 6000, more: int = 10000) -> tuple[Column, Column]:
-    """The first theme whose pattern is found in title and start of the text, and up to three further ones."""
-    head, body = F.concat_ws(" ", title, F.substring(text, 1, first)), F.substring(text, 1, more)
-    primary = F.coalesce(*[F.when(head.rlike(f"(?i){p}"), F.lit(name)) for name, p in themes], F.lit(default))
-    found = F.array(*[F.when(body.rlike(f"(?i){p}"), F.lit(name)) for name, p in themes])
+    """The first theme whose (lower-case) pattern is found in title and start of the text, and up to three further ones."""
+    head, body = F.lower(F.concat_ws(" ", title, F.substring(text, 1, first))), F.lower(F.substring(text, 1, more))
+    primary = F.coalesce(*[F.when(head.rlike(p), F.lit(name)) for name, p in themes], F.lit(default))
+    found = F.array(*[F.when(body.rlike(p), F.lit(name)) for name, p in themes])
     return primary, F.slice(F.filter(found, lambda t: t.isNotNull() & (t != primary)), 1, 3)

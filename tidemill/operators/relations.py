@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..tables import latest_rows
+from .events import running_sum
 
 
 def latest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
@@ -60,8 +61,10 @@ def winners(df: DataFrame, slot: str, order: Sequence[Column]) -> DataFrame:
     return df.join(least, slot).withColumn("won", F.struct(*order) == F.col("_best")).drop("_best")
 
 
-def running_limit(df: DataFrame, part: str, order: Sequence[Column], usable: Column, limit: int) -> DataFrame:
-    """Rows up to and with the limit-th usable one of each part; what comes before is kept for counting."""
-    w = W.partitionBy(part).orderBy(*order)
-    upto = F.sum(usable.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn("used", upto).filter((F.col("used") < limit) | ((F.col("used") == limit) & usable))
+def running_limit(df: DataFrame, part: str, order: Sequence[Column], bucket: Column, usable: Column, limit: int) -> DataFrame:
+    """Rows up to and with the limit-th usable one of each part; what comes before is kept for counting.
+
+    `bucket` must not fall along the order; it spreads a large part (see `events.running_sum`).
+    """
+    counted = running_sum(df, part, list(order), bucket, usable.cast("int"), "used")
+    return counted.filter((F.col("used") < limit) | ((F.col("used") == limit) & usable))

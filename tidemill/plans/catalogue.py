@@ -605,7 +605,7 @@ select article_id, source_id, ok as usable from b where used < 5 or (used = 5 an
 def q48_work_limit(spark, d):
     """Of each source the rows up to the fifth usable one, skipped ones counted along."""
     rows = read(spark, d, "discovered_articles").groupBy("article_id", "source_id").agg(F.min("discovered_at").alias("f"), F.bool_or(F.coalesce(F.col("extraction_confidence") >= 0.8, F.lit(False))).alias("usable"))
-    return rel.running_limit(rows, "source_id", [F.col("f").asc(), F.col("article_id").asc()], F.col("usable"), 5).select("article_id", "source_id", "usable")
+    return rel.running_limit(rows, "source_id", [F.col("f").asc(), F.col("article_id").asc()], F.to_date("f"), F.col("usable"), 5).select("article_id", "source_id", "usable")
 
 
 @query("""
