@@ -63,7 +63,7 @@ _LIST = regex.compile(
 )
 _NOTICE = regex.compile(
     r"^(?:\* ?|confidential(?:ity)?(?: notice)? ?: ?|vertraulich ?: ?|confidencial ?: ?)*(?:this (?:message|e-?mail) (?:is|and|may|contains)|please (?:think of the trees|consider the environment)|opinions here|if you (?:received|are not|have received)|no contract is formed"
-    r"|diese (?:nachricht|mail|e-?mail) |bitte (?:denken sie|an die)|wenn sie diese|falls sie|aus dieser (?:mail|e-?mail|nachricht)|este (?:mensaje|correo)|esta (?:comunicación|nachricht)|si (?:lo|la|usted|ha) (?:recibió|recibido|no)|piense en|antes de imprimir|no imprima|este correo no)"
+    r"|diese (?:nachricht|mail|e-?mail) |bitte (?:denken sie|an die)|wenn sie diese|falls sie|bei irrläufern|aus dieser (?:mail|e-?mail|nachricht)|este (?:mensaje|correo)|esta (?:comunicación|nachricht)|si (?:lo|la|usted|ha) (?:recibió|recibido|no)|las opiniones|piense en|antes de imprimir|no imprima|este correo no)"
     r"|^(?:confidential|confidentiality notice|vertraulich|confidencial) ?:",
     regex.I,
 )
@@ -209,10 +209,16 @@ class Message:
                 if following is None or self._name(self.text[following]) or _DEVICE.match(self.text[following]) or _LIST.match(self.text[following]) or _NOTICE.match(self.text[following]) or following > i + 1:
                     start = place
                     break
-            if _DEVICE.match(line) or _LIST.match(line) or _NOTICE.match(line):
-                if i == 0 or not self.seen[i - 1] or self.case[i - 1] or place == 0 or not self._running(i - 1):
-                    start = place
-                    break
+            if _DEVICE.match(line) or _LIST.match(line):
+                start = place
+                break
+            if _NOTICE.match(line) and (line[0] in "*C" or place == 0 or own[place - 1] != i - 1 or not self._running(i - 1)):
+                start = place
+                break
+        if start is None:
+            last = self.last_paragraph()
+            if last and self.text[last[0]].startswith("* ") and not any(self.text[i].startswith("* ") for i in last[1:]):
+                start = own.index(last[0])  # a single starred paragraph at the end
         if start is not None:
             for i in own[start:]:
                 self.case[i] = True

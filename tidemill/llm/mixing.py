@@ -136,7 +136,7 @@ def realise(counted: DataFrame, planned: DataFrame, id: str = "doc_id", source:
 def reached(realised: DataFrame, planned: DataFrame) -> DataFrame:
     """The plan with the tokens really used, their share of the mix and of the corpus."""
     used = realised.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.sum("repeats").alias("used_documents"), F.max("repeats").alias("most_repeats"))
-    out = planned.join(size_checked(used, MOST_TARGETS), "source", "left").fillna(0, ["used_tokens", "used_documents", "most_repeats"])
+    out = planned.join(used, "source", "left").fillna(0, ["used_tokens", "used_documents", "most_repeats"])
     whole = F.sum("used_tokens").over(W.partitionBy(F.lit(1)))  # one row per target
     return out.withColumn("share_of_mix", F.when(whole > 0, F.col("used_tokens") / whole).otherwise(0.0)).withColumn("share_of_corpus", F.when(F.col("total_tokens") > 0, F.col("used_tokens") / F.col("total_tokens")).otherwise(0.0))
 

@@ -34,7 +34,7 @@ from .arrow import map_arrow
 
 CELL_SIZE, CELL_MOST, CELLS_EACH = 512, 4096, 2
 MOST_CENTRES, SAMPLE_PER_CENTRE, KMEANS_ROUNDS = 2048, 16, 6
-WIDTH, ROUNDS, SETTLED = 10, 4, 0.002
+WIDTH, ROUNDS, SETTLED = 10, 8, 0.002
 CODE_ERROR = 0.005
 UPPER, FAR_LINKS, MOST_BACK = 16, 2, 64
 DIGITS = 12
@@ -108,7 +108,8 @@ class Cells:
     def near(self, units: np.ndarray, each: int = CELLS_EACH) -> np.ndarray:
         scores = units @ self.centres.T
         each = min(each, len(self.centres))
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :each].astype(np.int64)
+        best = np.argpartition(-scores, each - 1, axis=1)[:, :each].astype(np.int64)
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
         if len(self.planes):
             weights = np.int64(1) << np.arange(len(self.planes), dtype=np.int64)
             for k in range(each):
@@ -116,14 +117,20 @@ class Cells:
                 best[:, k] = best[:, k] * (1 << len(self.planes)) + side
         return best
 
-    def salted(self, ids: list[str], cells: np.ndarray) -> np.ndarray:
-        out = cells << 20
+    def salted(self, ids: list[str], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (places in `ids`) and their blocks. A vector of a crowded cell goes to two blocks of it, drawn
+        independently, so that the blocks overlap and its graph is one."""
+        rows, blocks = np.repeat(np.arange(len(ids)), cells.shape[1]), (cells << 20).ravel()
         if self.salts:
-            for i, row in enumerate(cells.tolist()):
-                for k, cell in enumerate(row):
-                    if cell in self.salts:
-                        out[i, k] += xxhash.xxh3_64_intdigest(f"{ids[i]}") % self.salts[cell]
-        return out
+            more_rows, more_blocks = [], []
+            for at, (row, cell) in enumerate(zip(rows.tolist(), cells.ravel().tolist())):
+                if cell in self.salts:
+                    first, second = (xxhash.xxh3_64_intdigest(ids[row], seed) % self.salts[cell] for seed in (1, 2))
+                    blocks[at] += first
+                    more_rows.append(row)
+                    more_blocks.append((cell << 20) + (1 << 19) + second)
+            rows, blocks = np.concatenate([rows, np.array(more_rows, np.int64)]), np.concatenate([blocks, np.array(more_blocks, np.int64)])
+        return rows, blocks
 
 
 def fit(sample: np.ndarray, centres: int, planes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +147,8 @@ def fit(sample: np.ndarray, centres: int, planes: int) -> tuple[np.ndarray, np.n
     return middle, rng.standard_normal((planes, sample.shape[1])).astype(np.float32)
 
 
-def cells_of(v: Vectors, scratch: Scratch) -> tuple[Cells, int]:
-    """Fitted cells and the number of classes."""
+def cells_of(v: Vectors, scratch: Scratch) -> tuple[Cells, DataFrame | None, int]:
+    """Fitted cells, the cells of each class (id, cells) and the number of classes."""
     n = v.members.filter("id = rep").count()
     wanted = max(1, n // CELL_SIZE)
     centres = min(MOST_CENTRES, wanted)
@@ -156,16 +163,16 @@ def cells_of(v: Vectors, scratch: Scratch) -> tuple[Cells, int]:
 
     found = sorted(v.mapped("id string, vec binary", sample).collect())
     if not found:
-        return Cells(np.zeros((1, v.dimensions), np.float32), np.zeros((0, v.dimensions), np.float32), {}), n
+        return Cells(np.zeros((1, v.dimensions), np.float32), np.zeros((0, v.dimensions), np.float32), {}), None, n
     fitted = Cells(*fit(np.stack([np.frombuffer(r["vec"], dtype=np.float32) for r in found]), centres, planes), {})
 
     def assigned(ids, rows):
-        cells = fitted.near(unit(rows).astype(np.float32)) if len(rows) else np.empty((0, CELLS_EACH), np.int64)
-        return {"cell": cells.ravel()}
+        return {"id": ids, "cells": fitted.near(unit(rows).astype(np.float32)).tolist() if len(rows) else []}
 
-    counts = v.mapped("cell long", assigned).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_MOST).limit(MOST_BROADCAST)
+    home = scratch.cut(v.mapped("id string, cells array<long>", assigned))
+    counts = home.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_MOST).limit(MOST_BROADCAST)
     fitted.salts = {r["cell"]: -(-r["n"] // CELL_MOST) for r in counts.collect()}
-    return fitted, n
+    return fitted, home, n
 
 
 EDGES = "id string, other string, cosine double, far boolean"
@@ -259,25 +266,29 @@ def raw_rows(v: Vectors) -> DataFrame:
 
 
 def build(v: Vectors, scratch: Scratch) -> Graph:
-    cells, n = cells_of(v, scratch)
+    cells, home, n = cells_of(v, scratch)
 
     def placed(ids, rows):
         if not len(rows):
             return {"cell": [], "id": [], "vec": []}
-        at = cells.salted(ids, cells.near(unit(rows).astype(np.float32)))
-        each = at.shape[1]
-        return {"cell": at.ravel(), "id": [i for i in ids for _ in range(each)], "vec": [r.tobytes() for r in rows for _ in range(each)]}
+        at, blocks = cells.salted(ids, cells.near(unit(rows).astype(np.float32)))
+        return {"cell": blocks, "id": [ids[i] for i in at], "vec": [rows[i].tobytes() for i in at]}
 
     spread = v.mapped("cell long, id string, vec binary", placed)
     first = spread.groupBy("cell").applyInPandas(_within, EDGES)
     first = scratch.cut(first.distinct())
     edges = scratch.cut(nearest(first.filter("not far").drop("far").distinct(), WIDTH))
 
-    def homes(ids, rows):
-        at = cells.salted(ids, cells.near(unit(rows).astype(np.float32))) if len(rows) else []
-        return {"id": ids, "homes": [list(map(int, r)) for r in at]}
+    def homes(part: pa.RecordBatch) -> dict:
+        ids, own = part.column(0).to_pylist(), part.column(1).to_pylist()
+        out: list[list[int]] = [[] for _ in ids]
+        for i, block in zip(*(x.tolist() for x in cells.salted(ids, np.array(own, dtype=np.int64)))):
+            out[i].append(block)
+        return {"id": ids, "homes": out}
 
-    home = scratch.cut(v.mapped("id string, homes array<long>", homes))
+    if n > 1:
+        home = map_arrow(home, "id string, homes array<long>", None, homes)
+        home = scratch.cut(home) if cells.salts else home
     codes = scratch.cut(v.mapped("id string, code binary", _codes)) if n > 1 else None
     rounds = 0
     while n > 1 and rounds < ROUNDS:

@@ -222,7 +222,7 @@ select a as article_id_a, b as article_id_b from common where shared >= 0.6 * (n
     "p9_found": """
 with long as (select doc_id, text, length(text) n from documents where length(text) >= 200),
 places as (select doc_id, text, unnest(range(1, n - 198)) i from long),
-windows as (select distinct doc_id, hash(substring(text, i, 200)) h from places)
+windows as (select distinct doc_id, md5(substring(text, i, 200)) h from places)
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from windows a join windows b on a.h = b.h and a.doc_id < b.doc_id""",
     "p4_found": """
 with usable as (
