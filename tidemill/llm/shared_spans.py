@@ -4,16 +4,16 @@ Every run of `least` characters holds a sampled window: of the hashes of all win
 one in each stretch of `least - window + 1` places is taken, so two texts that share `least` characters share at least
 one sampled window at the same characters. A count-min prefilter says which windows can be repeated: each partition
 makes a sketch with two rows of two bits per cell (seen, seen again), the sketches are merged by segment, and the merged
-cells overestimate a window's count, never underestimate it. A second pass takes the sampled windows again, groups
-exactly those estimated repeated and carries with each the characters around it that decide about a run of `least`;
-what the sketch lets through wrongly falls out here. None is lost.
+cells overestimate a window's count, never underestimate it. A second pass takes the sampled windows again and groups
+exactly those estimated repeated, by hash and document; what the sketch lets through wrongly falls out here, and none is
+lost. Of the windows that remain the characters around them that decide about a run of `least` are then compared.
 
 The sketch has a fixed size (`CELL_BITS`), which bounds what is merged and broadcast. When a corpus fills it, it lets
-more through and saves less, and the result is the same.
+more through and saves less: at worst 20 bytes for every 69 characters are grouped. The result is the same.
 
 Defined cases: texts shorter than `least` (null and empty ones too) share nothing; spans are compared by code point,
 exactly; several spans of one pair give one pair; a passage twice in one text is not shared with itself; repeated rows
-of one id are one document; rows without id are dropped; other columns are ignored.
+of one id are one document (rows of one id with other texts count together); rows without id are dropped; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..tables import Scratch
+from ..tables import Scratch, size_checked
 from .arrow import map_arrow, mix64
 
 LEAST, WINDOW = 200, 64
 CELL_BITS, SEGMENTS = 24, 256
 FEW = 32
+MOST_BROADCAST = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so its powers have inverses modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -139,37 +140,55 @@ def repeated_cells(documents: DataFrame, least: int, window: int) -> np.ndarray:
     return out.ravel()
 
 
-WINDOWS = "hash long, place int, left string, right string"
-
-
 def repeated_windows(documents: DataFrame, scratch: Scratch, id: str = "doc_id", least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """id, hash, place and the surroundings of each sampled window that the sketch holds for repeated."""
+    """id, hash, place and the surroundings of each sampled window that stands in more than one document.
+
+    Only ids, hashes and places are shuffled to find the windows; then the texts that hold some are met with their
+    places. A sketch that is full sends more places, in proportion to the texts, and no more surroundings.
+    """
     spark = documents.sparkSession
     chosen = documents.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), "text")
     bits = spark.sparkContext.broadcast(repeated_cells(chosen, least, window))
-    schema = T.StructType([chosen.schema["id"], *T.StructType.fromDDL(WINDOWS).fields])
     around = least - window
 
-    def make(part: pa.RecordBatch) -> dict:
+    def places(part: pa.RecordBatch) -> dict:
         sampler, cells = Sampler(least, window), bits.value
-        at, hashes_out, places_out, left, right = [], [], [], [], []
+        rows, hashes_out, places_out = [], [], []
         for row, text in enumerate(part.column(1).to_pylist()):
             if not text or len(text) < least:
                 continue
-            places, hashes = sampler(code_points(text))
+            at, hashes = sampler(code_points(text))
             both = np.ones(len(hashes), dtype=bool)
             for r, c in enumerate(_cells(hashes)):
                 c = c + (r << CELL_BITS)
                 both &= (cells[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-            for p, h in zip(places[both].tolist(), hashes[both].view(np.int64).tolist()):
-                at.append(row)
-                hashes_out.append(h)
-                places_out.append(p)
-                left.append(text[max(0, p - around) : p])
-                right.append(text[p : p + window + around])
-        return {"id": part.column(0).take(pa.array(at, pa.int64())), "hash": hashes_out, "place": places_out, "left": left, "right": right}
-
-    return scratch.cut(map_arrow(chosen, schema, "text", make).dropDuplicates(["id", "hash", "place"]))
+            rows.append(np.full(int(both.sum()), row))
+            hashes_out.append(hashes[both].view(np.int64))
+            places_out.append(at[both])
+        joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, hashes_out, places_out)]
+        return {"id": part.column(0).take(pa.array(joined[0], pa.int64())), "hash": joined[1], "place": joined[2].astype(np.int32)}
+
+    narrow = scratch.cut(map_arrow(chosen, T.StructType([chosen.schema["id"], *T.StructType.fromDDL("hash long, place int").fields]), "text", places))
+    repeated = narrow.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("hash")
+    held = narrow.join(repeated, "hash").groupBy("id").agg(F.collect_set(F.struct("place", "hash")).alias("windows"))
+    held = scratch.cut(held)
+    texts = chosen.join(size_checked(held, MOST_BROADCAST), "id")
+
+    def surroundings(part: pa.RecordBatch) -> dict:
+        rows, hashes_out, places_out, left, right = [], [], [], [], []
+        for row, (text, windows) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+            for w in windows if text else ():
+                p = w["place"]
+                if p + window <= len(text):
+                    rows.append(row)
+                    hashes_out.append(w["hash"])
+                    places_out.append(p)
+                    left.append(text[max(0, p - around) : p])
+                    right.append(text[p : p + window + around])
+        return {"id": part.column(0).take(pa.array(rows, pa.int64())), "hash": hashes_out, "place": places_out, "left": left, "right": right}
+
+    schema = T.StructType([chosen.schema["id"], *T.StructType.fromDDL("hash long, place int, left string, right string").fields])
+    return scratch.cut(map_arrow(texts.select("id", "text", "windows"), schema, "text", surroundings))
 
 
 @F.pandas_udf(T.StructType([T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())]))
@@ -207,9 +226,8 @@ def runs(windows: DataFrame, scratch: Scratch, least: int = LEAST, window: int =
     proportion to the classes and finds the same.
     """
     grouped = windows.withColumn("side", F.xxhash64("left", F.lit(1), "right", F.lit(2)))
-    counts = grouped.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("hash")
-    members = scratch.cut(grouped.join(counts, "hash"))
-    faces = scratch.cut(members.groupBy("hash", "side").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min("id").alias("low"), F.max("id").alias("high")))
+    members = scratch.cut(grouped.select("id", "hash", "place", "side").distinct())
+    faces = scratch.cut(grouped.groupBy("hash", "side").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min("id").alias("low"), F.max("id").alias("high")))
     sizes = faces.groupBy("hash").agg(F.count(F.lit(1)).alias("faces")).filter("faces > 1")
     several = faces.join(sizes, "hash")
     few, many = several.filter(F.col("faces") <= FEW), several.filter(F.col("faces") > FEW)
@@ -236,7 +254,7 @@ def runs(windows: DataFrame, scratch: Scratch, least: int = LEAST, window: int =
     spans = map_arrow(many.select("hash", "side", "left", "right"), "key binary, hash long, side long, l int, r int", None, spread)
     spans = scratch.cut(spans)
     met_keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return Runs(members.select("id", "hash", "place", "side"), scratch.cut(across.unionByName(within)), scratch.cut(spans.join(met_keys, "key")))
+    return Runs(members, scratch.cut(across.unionByName(within)), scratch.cut(spans.join(met_keys, "key")))
 
 
 def _seal() -> list:
