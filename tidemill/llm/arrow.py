@@ -27,14 +27,19 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000) -> Ite
         start = stop
 
 
+def row_slices(batch: pa.RecordBatch, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, most):
+        yield batch.slice(start, most)
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, text: str | None, make: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """`make` gets parts of the batches and gives columns by name, in any order; they leave as `schema`."""
+    """`make` gets parts of the batches, bounded by the bytes of column `text` or by rows, and gives columns by name."""
     spark_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text) if text else [batch]:
+            for part in slices(batch, text) if text else row_slices(batch):
                 if part.num_rows:
                     cols = make(part)
                     yield pa.RecordBatch.from_arrays([_array(cols[f.name], f.type) for f in arrow_schema], schema=arrow_schema)

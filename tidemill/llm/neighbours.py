@@ -38,6 +38,7 @@ WIDTH, ROUNDS, SETTLED = 10, 8, 0.002
 CODE_ERROR = 0.005
 UPPER, FAR_LINKS, MOST_BACK = 16, 2, 64
 DIGITS = 12
+ROWS_AT_ONCE = 256
 MOST_BROADCAST = 200_000
 
 
@@ -199,15 +200,15 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     left, right, value, far = [], [], [], []
     upper = np.flatnonzero([is_upper(i) for i in ids])
     upper = upper if len(upper) else np.array([0])
-    for start in range(0, n, 512):
-        scores = narrow[start : start + 512] @ narrow.T
+    for start in range(0, n, ROWS_AT_ONCE):
+        scores = narrow[start : start + ROWS_AT_ONCE] @ narrow.T
         rows = np.arange(len(scores))
         scores[rows, rows + start] = -2
         best = np.argpartition(-scores, extra - 1, axis=1)[:, :extra]
         best.sort(axis=1)
-        exact = exact_cosines(np.repeat(wide[start : start + 512], extra, axis=0), wide[best.ravel()]).reshape(-1, extra)
+        exact = exact_cosines(np.repeat(wide[start : start + ROWS_AT_ONCE], extra, axis=0), wide[best.ravel()]).reshape(-1, extra)
         order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        left.append(np.repeat(ids[start : start + 512], k))
+        left.append(np.repeat(ids[start : start + ROWS_AT_ONCE], k))
         right.append(ids[np.take_along_axis(best, order, 1).ravel()])
         value.append(np.take_along_axis(exact, order, 1).ravel())
         far.append(np.zeros(len(left[-1]), dtype=bool))
@@ -217,7 +218,7 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         few = min(FAR_LINKS, len(upper))
         best = np.argsort(-some, axis=1, kind="stable")[:, :few]
         kept = np.take_along_axis(some, best, 1).ravel() > -2
-        left.append(np.repeat(ids[start : start + 512], few)[kept])
+        left.append(np.repeat(ids[start : start + ROWS_AT_ONCE], few)[kept])
         right.append(ids[upper[best.ravel()]][kept])
         value.append(np.take_along_axis(some, best, 1).ravel()[kept].astype(np.float64))
         far.append(np.ones(len(left[-1]), dtype=bool))
