@@ -71,3 +71,26 @@ def test_salted_cells_meet_again(spark, monkeypatch):
     graph = nb.build(nb.vectors(frame(spark, x), scratch, 16), scratch)
     want, got = brute(x, 5), lists(nb.expanded(graph, 5))
     assert graph.cells.salts and np.mean([len(got[k] & want[k]) / 5 for k in want]) >= 0.9
+
+
+def test_search_asks_and_answers_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_SIZE", 40)
+    base = clustered(160, 16, 7)
+    x = np.concatenate([base, np.repeat(base[:1], 80, axis=0), base[1:30]])
+    scratch = Scratch(spark, "t")
+    graph = nb.build(nb.vectors(frame(spark, x), scratch, 16), scratch)
+    want = brute(x, 5)
+    got = lists(nb.search_members(graph, graph.vectors.members, scratch, 5))
+    assert len(got) == len(x) and np.mean([len(got[k] & want[k]) / 5 for k in want]) >= 0.98
+    copies = [f"v{i:05d}" for i in (0, *range(160, 240))]
+    assert all(got[k] == want[k] for k in copies)
+    asked = nb.raw_rows(graph.vectors).filter("id in ('v00000', 'v00001')")
+    assert lists(nb.search(graph, asked, scratch, 5)) == {k: want[k] for k in ("v00000", "v00001")}
+
+
+def test_search_without_upper_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nb, "is_upper", lambda id: False)
+    x = clustered(40, 8, 9)
+    scratch = Scratch(spark, "t")
+    graph = nb.build(nb.vectors(frame(spark, x), scratch, 8), scratch)
+    assert lists(nb.search_members(graph, graph.vectors.members, scratch, 5)) == brute(x, 5)

@@ -7,8 +7,9 @@ gives the first neighbour lists; a cell with more than CELL_MOST vectors is salt
 brings together. Then neighbours of neighbours meet in Spark joins: pairs not yet compared in a common cell are scored
 on 8-bit codes, the promising ones exactly, and lists are renewed until a round adds almost nothing.
 
-Queries walk the graph greedily: from the upper vectors (one of UPPER, by hash) of their nearest cells, the neighbours of
-the best vectors seen are scored, until the best have all been expanded. For the walk the graph is taken both ways and
+Queries walk the graph greedily: from the upper vectors (one of UPPER, by hash) and the least id of their nearest cells,
+the neighbours of the best vectors seen are scored, until the best have all been expanded. Equal vectors walk once, and
+the classes found are given as their members, the query's own class included. For the walk the graph is taken both ways and
 has links from each vector to the nearest upper vectors beyond its list, so that tight groups aren't islands.
 
 Neighbour lists of the join keep the WIDTH nearest forward and backward neighbours (NN-descent is approximate by
@@ -324,36 +325,71 @@ def build(v: Vectors, scratch: Scratch) -> Graph:
     return Graph(edges, first.filter("far").drop("far"), v, cells, rounds)
 
 
-def expanded(graph: Graph, k: int) -> DataFrame:
-    """id, other, cosine: the k nearest other ids of every id, classes expanded to their members.
+def spread(v: Vectors, lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """id, other, cosine: the k nearest other ids of every row of `asked` (id, rep), from `lists` (rep, other_rep, cosine)
+    of near classes, each class taken as its members.
 
     Of a class at most the k + 1 smallest ids can be among anyone's k nearest; those are taken salt by salt.
     """
-    members = graph.vectors.members
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
-    some = members.withColumn("salt", salt)
+    some = v.members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for w in (W.partitionBy("rep", "salt").orderBy("id"), W.partitionBy("rep").orderBy("id")):
         some = some.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1).drop("place")
     some = some.select(F.col("rep").alias("other_rep"), F.col("id").alias("other"))
+    joined = lists.join(some, "other_rep")
+    short = joined.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.col("cosine").desc(), "other"))).filter(F.col("place") <= k + 1).drop("place")
+    return nearest(asked.join(short, "rep").filter("id != other").select("id", "other", "cosine"), k)
+
+
+def expanded(graph: Graph, k: int) -> DataFrame:
+    """id, other, cosine: the k nearest other ids of every id, classes expanded to their members."""
+    members = graph.vectors.members
     near = graph.edges.select(F.col("id").alias("rep"), F.col("other").alias("other_rep"), "cosine")
     own = members.select("rep").distinct().select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
-    lists = near.unionByName(own).join(some, "other_rep")
-    short = lists.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.col("cosine").desc(), "other"))).filter(F.col("place") <= k + 1).drop("place")
-    return nearest(members.join(short, "rep").filter("id != other").select("id", "other", "cosine"), k)
+    return spread(graph.vectors, near.unionByName(own), members, k)
+
 
+def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, **walk) -> DataFrame:
+    """id, other, cosine: the k nearest other ids found for each query (id, vec binary of float32) by greedy walks."""
+    v = graph.vectors
+    asked = queries.select("id", F.col("id").alias("rep"))
+    own = v.members.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
+    return spread(v, _found(graph, queries, own, scratch, k, **walk), asked, k)
 
-def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, keep: int = 24, expand: int = 8, most_rounds: int = 12) -> DataFrame:
-    """id, other, cosine: the k nearest classes found for each query (id, vec binary of float32) by greedy walks."""
+
+def search_members(graph: Graph, ids: DataFrame, scratch: Scratch, k: int = 5, **walk) -> DataFrame:
+    """The same for usable ids; those of one class share the walk of its vector."""
+    v = graph.vectors
+    asked = scratch.cut(v.members.join(ids.select("id").distinct(), "id", "left_semi"))
+    reps = scratch.cut(asked.select("rep").distinct())
+    queries = raw_rows(v).join(size_checked(reps.select(F.col("rep").alias("id")), MOST_BROADCAST), "id", "left_semi")
+    own = reps.select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
+    return spread(v, _found(graph, queries, own, scratch, k, **walk), asked, k)
+
+
+def _found(graph: Graph, queries: DataFrame, own: DataFrame, scratch: Scratch, k: int, **walk) -> DataFrame:
+    """rep (of the query), other_rep, cosine: the nearest classes, with the query's own."""
+    near = nearest(walked(graph, queries, scratch, **walk), k + 1).select(F.col("id").alias("rep"), F.col("other").alias("other_rep"), "cosine")
+    return scratch.cut(near.unionByName(own).groupBy("rep", "other_rep").agg(F.max("cosine").alias("cosine")))
+
+
+def walked(graph: Graph, queries: DataFrame, scratch: Scratch, keep: int = 24, expand: int = 8, most_rounds: int = 12) -> DataFrame:
+    """id, other, cosine: the classes seen from each query (id, vec binary of float32)."""
     v, cells = graph.vectors, graph.cells
 
     def entries(ids, rows):
         if not len(rows):
-            return {"cell": [], "other": []}
-        units = unit(rows).astype(np.float32)
-        up = np.flatnonzero([is_upper(i) for i in ids])
-        return {"cell": cells.near(units, 1)[up, 0], "other": [ids[i] for i in up]}
-
-    entry = v.mapped("cell long, other string", entries)
+            return {"cell": [], "other": [], "upper": []}
+        at = cells.near(unit(rows).astype(np.float32), 1)[:, 0]
+        up = np.array([is_upper(i) for i in ids])
+        least: dict[int, int] = {}
+        for i in sorted(range(len(ids)), key=ids.__getitem__):
+            least.setdefault(int(at[i]), i)
+        taken = np.union1d(np.flatnonzero(up), np.array(list(least.values())))
+        return {"cell": at[taken], "other": [ids[i] for i in taken], "upper": up[taken]}
+
+    # The upper vectors of each cell and its least id, so that no cell is without an entry.
+    placed = scratch.cut(v.mapped("cell long, other string, upper boolean", entries))
+    entry = placed.filter("upper").select("cell", "other").union(placed.groupBy("cell").agg(F.min("other").alias("other"))).distinct()
 
     def starts(part: pa.RecordBatch) -> dict:
         ids, rows = part.column(0).to_pylist(), [np.frombuffer(b, dtype=np.float32) for b in part.column(1).to_pylist()]
@@ -366,7 +402,7 @@ def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, keep:
     graph_edges = scratch.cut(graph.edges.unionByName(graph.links).unionByName(turned[0]).unionByName(turned[1]).select(F.col("id").alias("via"), "other").distinct())
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().filter("id != other").join(asked, "id").join(raw, "other").select("id", "other", raw_cosine("vec", "q").alias("cosine"))
+        return pairs.distinct().join(asked, "id").join(raw, "other").select("id", "other", raw_cosine("vec", "q").alias("cosine"))
 
     seen = scratch.cut(scored(map_arrow(asked, "id string, cell long", None, starts).join(entry, "cell").select("id", "other")).withColumn("done", F.lit(False)))
     for _ in range(most_rounds):
@@ -378,4 +414,4 @@ def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, keep:
         reached = ahead.join(graph_edges, "via").select("id", "other").distinct().join(seen.select("id", "other"), ["id", "other"], "left_anti")
         marked = seen.join(ahead.select("id", F.col("via").alias("other"), F.lit(True).alias("now")), ["id", "other"], "left").select("id", "other", "cosine", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         seen = scratch.cut(marked.unionByName(scored(reached).withColumn("done", F.lit(False))))
-    return nearest(seen.drop("done"), k)
+    return seen.drop("done")

@@ -84,11 +84,11 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy graph search; queries are the articles whose hexadecimal id is divisible by 100."""
+    """Greedy graph search; queries are the articles with a usable vector whose hexadecimal id is divisible by 100."""
     scratch = Scratch(spark, "p4")
     graph = _graph(spark, d, scratch)
-    asked = neighbours.raw_rows(graph.vectors).filter((F.conv(F.substring("id", -8, 8), 16, 10).cast("long") + F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(100)) * F.lit(pow(2, 32, 100))) % 100 == 0)
-    near = neighbours.search(graph, asked, scratch, NEIGHBOURS)
+    asked = graph.vectors.members.filter((F.conv(F.substring("id", -8, 8), 16, 10).cast("long") + F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(100)) * F.lit(pow(2, 32, 100))) % 100 == 0)
+    near = neighbours.search_members(graph, asked, scratch, NEIGHBOURS)
     return near.select(F.col("id").alias("article_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
