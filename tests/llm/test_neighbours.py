@@ -55,6 +55,15 @@ def test_copies_ties_and_dirty_rows(spark):
     assert lists(nb.expanded(graph, 5)) == brute(x, 5)
 
 
+@pytest.mark.parametrize("copies", [40, 120])
+def test_copies_of_other_norms(spark, copies):
+    rng = np.random.default_rng(4)
+    base = clustered(60, 16, 6)
+    x = np.concatenate([base, base[:1] * rng.uniform(0.1, 9, (copies, 1))])[rng.permutation(60 + copies)]
+    scratch = Scratch(spark, "t")
+    assert lists(nb.expanded(nb.build(nb.vectors(frame(spark, x), scratch, 16), scratch), 5)) == brute(x, 5)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
 def test_few_vectors(spark, n):
     x = clustered(max(n, 1), 8, 2)[:n]

@@ -3,8 +3,9 @@
 Vectors with equal components are one class and stand in the graph once. A bounded sample fits cell centres on the
 driver (at most MOST_CENTRES centres from SAMPLE_PER_CENTRE vectors each; beyond that cells are split by hyperplanes
 through their centres); every vector is indexed, in the two nearest cells. Inside a cell all pairs are compared, which
-gives the first neighbour lists; a cell with more than CELL_MOST vectors is salted, and what a salt parts NN-descent
-brings together. Then neighbours of neighbours meet in Spark joins: pairs not yet compared in a common cell are scored
+gives the first neighbour lists: all that float32 can't tell from the last place is scored exactly, so ties of any width
+go to the smaller ids. A cell with more than CELL_MOST vectors is salted, and what a salt parts NN-descent brings
+together. Then neighbours of neighbours meet in Spark joins: pairs not yet compared in a common cell are scored
 on 8-bit codes, the promising ones exactly, and lists are renewed until a round adds almost nothing.
 
 Queries walk the graph greedily: from the upper vectors (one of UPPER, by hash) and the least id of their nearest cells,
@@ -39,7 +40,7 @@ WIDTH, ROUNDS, SETTLED = 10, 8, 0.002
 CODE_ERROR = 0.005
 UPPER, FAR_LINKS, MOST_BACK = 16, 2, 64
 DIGITS = 12
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE, MANY = 256, 64
 MOST_BROADCAST = 200_000
 
 
@@ -188,6 +189,22 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.einsum("ij,ij->i", a, b), DIGITS)
 
 
+def _exact_best(wide: np.ndarray, start: int, near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of the candidates `near` of each row from `start` on, by exact cosine and smaller place."""
+    best = np.empty((len(near), k), dtype=np.int64)
+    counts = near.sum(axis=1)
+    few, many = np.flatnonzero(counts <= MANY), np.flatnonzero(counts > MANY)
+    if len(few):
+        row, other = np.nonzero(near[few])
+        exact = exact_cosines(wide[start + few[row]], wide[other])
+        first = np.cumsum(counts[few]) - counts[few]
+        best[few] = other[np.lexsort((other, -exact, row))[first[:, None] + np.arange(k)]]
+    if len(many):
+        exact = np.where(near[many], np.round(wide[start + many] @ wide.T, DIGITS), -2)
+        best[many] = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    return best
+
+
 def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.drop_duplicates("id").sort_values("id")
     ids = frame["id"].to_numpy()
@@ -197,7 +214,9 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     raw = np.frombuffer(b"".join(frame["vec"]), dtype=np.float32).reshape(n, -1)
     wide = unit(raw)
     narrow = wide.astype(np.float32)
-    k, extra = min(WIDTH, n - 1), min(WIDTH + 4, n - 1)
+    k = min(WIDTH, n - 1)
+    # Twice what a float32 score of two unit vectors can be off by.
+    slack = np.float32(2 * (raw.shape[1] + 3) * 2.0**-24)
     left, right, value, far = [], [], [], []
     upper = np.flatnonzero([is_upper(i) for i in ids])
     upper = upper if len(upper) else np.array([0])
@@ -205,17 +224,16 @@ def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         scores = narrow[start : start + ROWS_AT_ONCE] @ narrow.T
         rows = np.arange(len(scores))
         scores[rows, rows + start] = -2
-        best = np.argpartition(-scores, extra - 1, axis=1)[:, :extra]
-        best.sort(axis=1)
-        exact = exact_cosines(np.repeat(wide[start : start + ROWS_AT_ONCE], extra, axis=0), wide[best.ravel()]).reshape(-1, extra)
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None] - slack
+        best = _exact_best(wide, start, scores >= least, k)
+        exact = exact_cosines(np.repeat(wide[start : start + ROWS_AT_ONCE], k, axis=0), wide[best.ravel()])
         left.append(np.repeat(ids[start : start + ROWS_AT_ONCE], k))
-        right.append(ids[np.take_along_axis(best, order, 1).ravel()])
-        value.append(np.take_along_axis(exact, order, 1).ravel())
+        right.append(ids[best.ravel()])
+        value.append(exact)
         far.append(np.zeros(len(left[-1]), dtype=bool))
         # Links out of the tight groups: the nearest upper vectors beyond the list.
         some = scores[:, upper].copy()
-        some[some >= np.take_along_axis(scores, best, 1).min(axis=1, keepdims=True)] = -2
+        some[some >= least] = -2
         few = min(FAR_LINKS, len(upper))
         best = np.argsort(-some, axis=1, kind="stable")[:, :few]
         kept = np.take_along_axis(some, best, 1).ravel() > -2
