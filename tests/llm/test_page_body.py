@@ -73,3 +73,17 @@ def test_alignment_of_crossed_markup():
     lines = ["One two", "three & four", "five", "six"]
     assert all(line.found for line in aligned(lines, segments(markup)))
     assert segments("") == [] and segments("< p >") and not aligned(["nothing like it"], segments(markup))[0].found
+
+
+def test_alignment_over_many_unmatched_segments(spark):
+    menu = "".join(f'<td><a href="/{i}">Place {i}</a></td>' for i in range(400))
+    rest = f'<p class="t">{PROSE} Second.</p><p class="t">{PROSE} Third.</p></article><footer><p>© 2024 The Site</p></footer>'
+    markup = f'<body><article><h1>Title</h1><p class="t">{PROSE} First.</p><table><tr>{menu}</tr></table>{rest}</body>'
+    text = "\n".join(["Title", f"{PROSE} First.", "A line of no markup at all stands in this very place.", f"{PROSE} Second.", f"{PROSE} Third.", "© 2024 The Site"])
+    assert [m.found for m in aligned(text.split("\n"), segments(markup))] == [True, True, False, True, True, True]
+    assert found(spark, [("p", text, markup, "Title", "the-site", None, None, 1, 2)]) == {"p": {5}}
+
+
+def test_a_line_found_far_ahead_does_not_cost_the_rest():
+    markup = "<p>one</p><p>two</p><p>three</p><p>more</p>"
+    assert [m.found for m in aligned(["more", "one", "two", "three"], segments(markup))] == [False, True, True, True]

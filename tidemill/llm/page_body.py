@@ -113,7 +113,7 @@ class Page:
             for box in reversed(self.marks[self.heading].boxes):
                 if box.tag in ("html", "body", "tr", "tbody", "table", "td"):
                     continue
-                member = np.array([any(b is box for b in m.boxes) for m in self.marks])
+                member = self._filled_in(np.array([any(b is box for b in m.boxes) for m in self.marks]))
                 if any(member[i] and i != self.heading and len(self.lines[i].split()) > 2 and not self.marks[i].linked for i in range(n)):
                     return member
         start, stop = self.surge, self.dive
@@ -128,6 +128,12 @@ class Page:
         inside[start:stop] = True
         return inside
 
+    def _filled_in(self, member: np.ndarray) -> np.ndarray:
+        """Lines without markup stand where the lines with markup on both sides of them stand."""
+        at = np.flatnonzero([m.found for m in self.marks])
+        after = np.searchsorted(at, np.arange(len(member)))
+        return member[at[np.maximum(after - 1, 0)]] & member[at[np.minimum(after, len(at) - 1)]] | member
+
     def _judge(self) -> None:
         lines, marks = [line.strip() for line in self.lines], self.marks
         filled = np.array([bool(line) for line in lines])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import regex
@@ -130,23 +131,55 @@ def _kind(attributes: str) -> str:
 
 
 def aligned(lines: list[str], found: list[Segment]) -> list[Line]:
-    """For each line of the text the segments it was made of; both stand in page order."""
-    out, at = [], 0
-    for line in lines:
-        want = bare(line)
-        here = Line()
-        if not want:
-            out.append(here)
-            continue
-        start = at
-        while start < len(found) and start < at + 200:
-            joined, end = "", start
-            while end < len(found) and len(joined) < len(want) and want.startswith(joined + found[end].text):
-                joined += found[end].text
-                end += 1
-            if joined == want:
-                here.segments, at = found[start:end], end
-                break
-            start += 1
-        out.append(here)
+    """For each line of the text the segments it was made of; both stand in page order.
+
+    Each line takes its next occurrence, however far ahead; if that costs a later line, the longest chain is taken.
+    """
+    offsets = [0]
+    for s in found:
+        offsets.append(offsets[-1] + len(s.text))
+    ends = {offset: i for i, offset in enumerate(offsets)}
+    text = "".join(s.text for s in found)
+    starts: dict[str, list[int]] = {}
+    for i, s in enumerate(found):
+        starts.setdefault(s.text, []).append(i)
+    lengths = sorted({len(x) for x in starts})
+    known: dict[str, list[tuple[int, int]]] = {"": []}
+
+    def places(want: str) -> list[tuple[int, int]]:
+        if want not in known:
+            first = [i for n in lengths[: bisect_right(lengths, len(want))] for i in starts.get(want[:n], ())]
+            known[want] = [(i, ends[offsets[i] + len(want)]) for i in sorted(first) if offsets[i] + len(want) in ends and text.startswith(want, offsets[i])]
+        return known[want]
+
+    wanted = [places(bare(line)) for line in lines]
+    taken: dict[int, tuple[int, int]] = {}
+    at = 0
+    for k, spans in enumerate(wanted):
+        next_one = bisect_left(spans, (at, 0))
+        if next_one < len(spans):
+            taken[k] = spans[next_one]
+            at = spans[next_one][1]
+    if len(taken) < sum(map(bool, wanted)):
+        taken = _longest_chain(wanted)
+    return [Line(found[slice(*taken[k])]) if k in taken else Line() for k in range(len(lines))]
+
+
+def _longest_chain(wanted: list[list[tuple[int, int]]]) -> dict[int, tuple[int, int]]:
+    """The most lines with a span each, in order and without overlap; of chains of one length the one that ends first."""
+    least: list[int] = []  # end of the chain of each length
+    last: list[tuple] = []
+    for k, spans in enumerate(wanted):
+        for span in reversed(spans):
+            n = bisect_right(least, span[0])
+            chain = (k, span, last[n - 1] if n else None)
+            if n == len(least):
+                least.append(span[1])
+                last.append(chain)
+            elif span[1] < least[n]:
+                least[n], last[n] = span[1], chain
+    out, chain = {}, last[-1] if last else None
+    while chain:
+        k, span, chain = chain
+        out[k] = span
     return out
