@@ -1,20 +1,23 @@
-"""Most similar vectors for every vector: NN-descent over a first graph from overlapping cells.
+"""Most similar vectors for every vector: NN-descent by iterative Spark joins.
 
-Vectors with equal components are one class and stand in the graph once. A bounded sample fits cell centres on the
-driver (at most MOST_CENTRES centres from SAMPLE_PER_CENTRE vectors each; beyond that cells are split by hyperplanes
-through their centres); every vector is indexed, in the two nearest cells. Inside a cell all pairs are compared, which
-gives the first neighbour lists: all that float32 can't tell from the last place is scored exactly, so ties of any width
-go to the smaller ids. A cell with more than CELL_MOST vectors is salted, and what a salt parts NN-descent brings
-together. Then neighbours of neighbours meet in Spark joins: pairs not yet compared in a common cell are scored
-on 8-bit codes, the promising ones exactly, and lists are renewed until a round adds almost nothing.
+Vectors with equal components are one class and stand in the graph once, as a numbered node in the order of ids. One
+pass over the vectors turns each into a code (a fixed random rotation, four bits a place: the cosine of two codes is off
+by about 0.01) and a few sign hashes. The start lists are poor on purpose: in each of ORDERS orders by sign hash a node
+meets the WINDOW nodes before and after it and keeps the SEEDS best. Then NN-descent does the work. In each round a hub
+is joined with the codes of its members (its list and up to BACK of those that list it); members of one hub are scored
+with each other if one of them is new there, each proposes the PROPOSED best to each other where they beat the end of
+its list, and lists keep the WIDTH best, ties going to smaller nodes. It ends when hardly any entry is new. All of it is
+alike at every size: nothing is gathered but one number a round, and no switch depends on the number of vectors.
 
-Queries walk the graph greedily: from the upper vectors (one of UPPER, by hash) and the least id of their nearest cells,
-the neighbours of the best vectors seen are scored, until the best have all been expanded. Equal vectors walk once, and
-the classes found are given as their members, the query's own class included. For the walk the graph is taken both ways and
-has links from each vector to the nearest upper vectors beyond its list, so that tight groups aren't islands.
+Codes can't order vectors that lie closer than their error. Where a whole list is nearer than TIGHT, its node goes on
+with the vectors themselves in place of the codes, and SHARPER entries are added to its list.
 
-Neighbour lists of the join keep the WIDTH nearest forward and backward neighbours (NN-descent is approximate by
-design); recall against brute force is measured in the tests and given in the README.
+The pairs that can still be among the k nearest, by the error of the codes, are then scored exactly on the vectors.
+Queries walk the graph greedily: from the nodes of their own sign hash, and some of all, the lists of the best nodes
+seen are scored, until the best have all been expanded. Neighbours in two orders are links of the walk, so the graph is one.
+
+NN-descent is approximate by design: BACK, PROPOSED and the seeds sample candidates; recall against brute force is
+measured in the tests and given in the README.
 
 Defined cases: vectors that are null, of another length, all zero or not finite are left out; of several usable vectors
 of one article the latest holds; equal cosines go to the smaller id; rows without id are dropped; fewer than k other
@@ -23,25 +26,28 @@ vectors give shorter lists; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..tables import Scratch, size_checked
-from .arrow import map_arrow
+from .arrow import list_array, map_arrow
 
-CELL_SIZE, CELL_MOST, CELLS_EACH = 512, 4096, 2
-MOST_CENTRES, SAMPLE_PER_CENTRE, KMEANS_ROUNDS = 2048, 16, 6
-WIDTH, ROUNDS, SETTLED = 10, 8, 0.002
-CODE_ERROR = 0.005
-UPPER, FAR_LINKS, MOST_BACK = 16, 2, 64
+CODE_PLACES, STEP, CODE_ERROR = 384, 0.3352, 0.015  # the step suits a normal distribution; the error is of either code
+ORDERS, HASH_BITS, WINDOW, SEEDS = 8, 20, 12, 4
+WIDTH, BACK, PROPOSED = 24, 24, 6
+ROUNDS, SETTLED = 8, 0.03
+TIGHT, SHARPER = 0.9, 12
 DIGITS = 12
-ROWS_AT_ONCE, MANY = 256, 64
 MOST_BROADCAST = 200_000
+HUBS_AT_ONCE, ENTRIES_AT_ONCE = 64, 1 << 20
+ENTRIES, COMMON_ENTRIES = 8, 16
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -59,288 +65,328 @@ def stacked(values: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], rows[good]
 
 
+@lru_cache(maxsize=4)
+def turns(dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations that spread a vector evenly over at least CODE_PLACES places, and the planes of the sign hashes."""
+    rng = np.random.default_rng(5)
+    copies = -(-CODE_PLACES // dimensions)
+    rotations = np.concatenate([np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0] for _ in range(copies)], axis=1)
+    if rotations.shape[1] % 2:
+        rotations = np.concatenate([rotations, rotations[:, :1]], axis=1)
+    return rotations.astype(np.float32) * np.float32(np.sqrt(dimensions)), rng.standard_normal((dimensions, ORDERS * HASH_BITS)).astype(np.float32)
+
+
+def encoded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (bytes of two places each) and ORDERS sign hashes of float32 rows."""
+    rotations, planes = turns(rows.shape[1])
+    units = unit(rows).astype(np.float32)
+    places = (np.clip(np.floor(units @ rotations / np.float32(STEP)), -8, 7) + 8).astype(np.uint8)
+    signs = (units @ planes > 0).reshape(len(rows), ORDERS, HASH_BITS)
+    return places[:, ::2] << 4 | places[:, 1::2], signs @ (1 << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64))
+
+
+def decoded(codes: pa.Array) -> np.ndarray:
+    """Unit float32 rows of a column of codes."""
+    packed = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8).reshape(len(codes), -1)
+    out = np.empty((len(packed), packed.shape[1] * 2), dtype=np.float32)
+    out[:, ::2], out[:, 1::2] = packed >> 4, packed & 15
+    out -= np.float32(7.5)
+    out /= np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    return out
+
+
 @dataclass
 class Vectors:
     raw: DataFrame  # the rows given: id, version, vec
     members: DataFrame  # id, rep: every usable id and the least id with the same vector
-    dropped: DataFrame  # id, version, place-independent hash of the rows that aren't a class's own row
+    nodes: DataFrame  # node, id, version, h, code, hashes: one row per class, numbered in the order of ids
     dimensions: int
 
-    def mapped(self, schema: str, make) -> DataFrame:
-        """`make(ids, rows)` over the classes' vectors, one row each, without a shuffle of the vectors."""
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node and vec (binary of float32) of some nodes (node); the rows are told by id, version and hash."""
         dimensions = self.dimensions
-        kept = self.raw.withColumn("h", F.xxhash64("vec")).join(size_checked(self.dropped, MOST_BROADCAST), ["id", "version", "h"], "left_anti")
+        wanted = self.nodes.join(nodes, "node", "left_semi").select("node", "id", "version", "h")
+        kept = self.raw.withColumn("h", F.xxhash64("vec")).join(size_checked(wanted, MOST_BROADCAST), ["id", "version", "h"])
 
-        def run(part: pa.RecordBatch) -> dict:
-            at, rows = stacked(part.column(part.schema.get_field_index("vec")), dimensions)
-            ids = part.column(part.schema.get_field_index("id")).take(pa.array(at)).to_pylist()
-            return make(ids, rows)
+        def make(part: pa.RecordBatch) -> dict:
+            at, rows = stacked(part.column(1), dimensions)
+            return {"node": part.column(0).take(pa.array(at)), "vec": [r.tobytes() for r in rows]}
 
-        return map_arrow(kept.select("id", "vec"), schema, None, run)
+        return map_arrow(kept.select("node", "vec"), "node long, vec binary", None, make).dropDuplicates(["node"])
 
 
 def vectors(rows: DataFrame, scratch: Scratch, dimensions: int) -> Vectors:
     """`rows`: id (string), version (orderable), vec (array of float)."""
     rows = rows.filter("id is not null and vec is not null").withColumn("version", F.coalesce(F.col("version"), F.lit(0).cast(rows.schema["version"].dataType)))
-    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("h long, hi long, lo long").fields])
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("h long, hi long, lo long, code binary, hashes array<int>").fields])
 
     def make(part: pa.RecordBatch) -> dict:
         at, vecs = stacked(part.column(2), dimensions)
         taken = part.take(pa.array(at))
         keys = b"".join(xxhash.xxh3_128_digest((v + np.float32(0)).tobytes()) for v in vecs)
         pair = np.frombuffer(keys, dtype=">i8").astype(np.int64).reshape(-1, 2)
-        return {"id": taken.column(0), "version": taken.column(1), "h": taken.column(3), "hi": pair[:, 0], "lo": pair[:, 1]}
+        codes, hashes = encoded(vecs) if len(vecs) else (vecs, vecs)
+        return {"id": taken.column(0), "version": taken.column(1), "h": taken.column(3), "hi": pair[:, 0], "lo": pair[:, 1], "code": [c.tobytes() for c in codes], "hashes": list_array(hashes.astype(np.int32).ravel(), np.full(len(vecs), ORDERS), pa.int32())}
 
     rows = rows.select("id", "version", "vec")
-    narrow = scratch.cut(map_arrow(rows.withColumn("h", F.xxhash64("vec")), schema, None, make))
-    newest = narrow.groupBy("id").agg(F.max(F.struct("version", "hi", "lo", "h")).alias("m")).select("id", "m.*")
-    newest = scratch.cut(newest)
+    narrow = map_arrow(rows.withColumn("h", F.xxhash64("vec")), schema, None, make)
+    newest = scratch.cut(narrow.groupBy("id").agg(F.max(F.struct("version", "hi", "lo", "h", "code", "hashes")).alias("m")).select("id", "m.*"))
     reps = newest.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
-    members = scratch.cut(newest.join(reps, ["hi", "lo"]).select("id", "rep", "version", "h"))
-    own = members.filter("id = rep").select("id", "version", "h")
-    dropped = scratch.cut(narrow.select("id", "version", "h").distinct().join(own, ["id", "version", "h"], "left_anti"))
-    return Vectors(rows, members.select("id", "rep"), dropped, dimensions)
+    members = scratch.cut(newest.select("id", "hi", "lo").join(reps, ["hi", "lo"]).select("id", "rep"))
+    own = newest.join(members.filter("id = rep").select("id"), "id", "left_semi").orderBy("id")
+    nodes = scratch.cut(own.select(F.monotonically_increasing_id().alias("node"), "id", "version", "h", "code", "hashes"))
+    scratch.drop(newest)
+    return Vectors(rows, members, nodes, dimensions)
+
+
+def runs(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut anew where its value changes, `at_least` rows together where there are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < at_least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        keys = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield whole.slice(0, cut)
+        held = whole.slice(cut).to_batches()
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        if whole.num_rows:
+            yield whole
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def best_of(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of each id the `most` best others, best first, each once (as old where it was known), equal ones by smaller node."""
+    order = np.lexsort((new, others, ids))
+    ids, others, sims, new = ids[order], others[order], sims[order], new[order]
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])
+    ids, others, sims, new = ids[first], others[first], sims[first], new[first]
+    order = np.lexsort((others, -sims, ids))
+    ids, others, sims, new = ids[order], others[order], sims[order], new[order]
+    starts, sizes = grouped(ids)
+    kept = np.arange(len(ids)) - np.repeat(starts, sizes) < most
+    return ids[kept], others[kept], sims[kept], new[kept]
+
+
+LISTS = "id long, others array<long>, sims array<float>, fresh array<boolean>"
+
+
+def listed(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+    """One row per id of entries sorted by id."""
+    starts, sizes = grouped(ids)
+    cols = [pa.array(ids[starts], pa.int64()), list_array(others, sizes, pa.int64()), list_array(sims.astype(np.float32), sizes, pa.float32()), list_array(new, sizes, pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, names=["id", "others", "sims", "fresh"])
+
+
+def _flat(table: pa.Table, column: int) -> np.ndarray:
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def merged(lists: DataFrame, most: int) -> DataFrame:
+    """Lists of one id put together, the `most` best kept."""
+
+    def run(batches):
+        for table in runs(batches, 1 << 14):
+            sizes = pa.compute.list_value_length(table.column(1)).to_numpy()
+            ids = np.repeat(table.column(0).to_numpy(), sizes)
+            if len(ids):
+                yield listed(*best_of(ids, _flat(table, 1), _flat(table, 2), _flat(table, 3), most))
+
+    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, LISTS)
+
+
+def ordered(v: Vectors, orders: range) -> DataFrame:
+    """hash, node, code of every node in each order, sorted by hash and node over range partitions."""
+    each = F.array(*[F.shiftleft(F.lit(t).cast("long"), HASH_BITS) + F.get("hashes", F.lit(t)) for t in orders])
+    return v.nodes.select(F.explode(each).alias("hash"), "node", "code").repartitionByRange("hash", "node").sortWithinPartitions("hash", "node")
+
+
+def start_lists(v: Vectors) -> DataFrame:
+    """The SEEDS best of the WINDOW nodes before and after each node in each order."""
+
+    def run(batches):
+        hashes, nodes, codes = np.empty(0, np.int64), np.empty(0, np.int64), None
+        done = 0  # rows at the front whose later neighbours were seen too
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = decoded(batch.column(2))
+            hashes, nodes = np.concatenate([hashes, batch.column(0).to_numpy()]), np.concatenate([nodes, batch.column(1).to_numpy()])
+            codes = more if codes is None else np.concatenate([codes, more])
+            n = len(nodes)
+            sims = np.full((2 * WINDOW, n), -2, dtype=np.float32)
+            for gap in range(1, min(WINDOW, n - 1) + 1):
+                near = np.einsum("ij,ij->i", codes[gap:], codes[:-gap])
+                near[hashes[gap:] >> HASH_BITS != hashes[:-gap] >> HASH_BITS] = -2
+                sims[gap - 1, :-gap], sims[WINDOW + gap - 1, gap:] = near, near
+            k = min(SEEDS, 2 * WINDOW)
+            best = np.argpartition(-sims, k - 1, axis=0)[:k]
+            value = np.take_along_axis(sims, best, 0)
+            gaps = np.where(best < WINDOW, best + 1, WINDOW - 1 - best)
+            row, place = np.nonzero((value > -2).T[done:])
+            at = row + done
+            yield listed(*best_of(nodes[at], nodes[at + gaps[place, at]], value[place, at], np.ones(len(at), dtype=bool), SEEDS))
+            rest = max(0, n - WINDOW)
+            # The last rows come again with their later neighbours; what is told twice is merged.
+            hashes, nodes, codes = hashes[max(0, rest - WINDOW) :], nodes[max(0, rest - WINDOW) :], codes[max(0, rest - WINDOW) :]
+            done = min(WINDOW, rest)
+
+    return merged(ordered(v, range(ORDERS)).mapInArrow(run, LISTS), WIDTH)
+
+
+def as_they_are(rows: pa.Array) -> np.ndarray:
+    """Unit float32 rows of a column of raw float32 vectors."""
+    return unit(np.frombuffer(b"".join(rows.to_pylist()), dtype=np.float32).reshape(len(rows), -1)).astype(np.float32)
+
+
+def local_joins(batches: Iterator[pa.RecordBatch], read=decoded) -> Iterator[pa.RecordBatch]:
+    """Proposals among the members of each hub. Columns: hub, member, fresh, least, code; sorted by hub."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for table in runs(batches, 1 << 12):
+        hubs, members, fresh, least = (table.column(k).to_numpy() for k in range(4))
+        codes = read(table.column(4).combine_chunks())
+        starts, sizes = grouped(hubs)
+        for a in range(0, len(starts), HUBS_AT_ONCE):
+            some, lengths = starts[a : a + HUBS_AT_ONCE], sizes[a : a + HUBS_AT_ONCE]
+            rows = np.arange(some[0], some[-1] + lengths[-1])
+            hub = np.repeat(np.arange(len(some)), lengths)
+            place = rows - some[hub]
+            width = int(lengths.max())
+            if width < 2:
+                continue
+            grid = np.zeros((len(some), width, codes.shape[1]), dtype=np.float32)
+            grid[hub, place] = codes[rows]
+            who = np.full((len(some), width), -1, dtype=np.int64)
+            who[hub, place] = members[rows]
+            new = np.zeros((len(some), width), dtype=bool)
+            new[hub, place] = fresh[rows]
+            limit = np.full((len(some), width), 2, dtype=np.float32)
+            limit[hub, place] = least[rows]
+            sims = grid @ grid.transpose(0, 2, 1)
+            sims[~(new[:, :, None] | new[:, None, :]) | (who[:, None, :] < 0) | (who[:, :, None] == who[:, None, :]) | (sims < limit[:, :, None])] = -2
+            k = min(PROPOSED, width)
+            best = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
+            value = np.take_along_axis(sims, best, 2)
+            g, i, j = np.nonzero(value > -2)
+            held.append((who[g, i], who[g, best[g, i, j]], value[g, i, j]))
+        if sum(len(h[0]) for h in held) > ENTRIES_AT_ONCE:
+            yield _proposals(held)
+            held = []
+    if held:
+        yield _proposals(held)
+
+
+def _proposals(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    ids, others, sims = (np.concatenate(x) for x in zip(*held))
+    return listed(*best_of(ids, others, sims, np.ones(len(ids), dtype=bool), WIDTH))
+
+
+def descended(codes: DataFrame, lists: DataFrame, turn: int, read=decoded, anew: bool = False) -> DataFrame:
+    """Lists after one round: neighbours of neighbours meet at their hubs. `codes`: node, code.
+
+    With `anew` the lists only say who meets: hubs meet their members too, and the lists are made from what is scored.
+    """
+    edges = lists.select("id", F.explode(F.arrays_zip("others", "fresh")).alias("e")).select("id", F.col("e.others").alias("other"), (F.col("e.fresh") | F.lit(anew)).alias("fresh"))
+    by = W.partitionBy("other").orderBy(F.col("fresh").desc(), F.xxhash64("id", "other", F.lit(turn)))
+    back = edges.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= BACK).select(F.col("other").alias("hub"), F.col("id").alias("member"), "fresh")
+    both = edges.select(F.col("id").alias("hub"), F.col("other").alias("member"), "fresh").unionByName(back)
+    if anew:
+        both = both.unionByName(lists.select(F.col("id").alias("hub"), F.col("id").alias("member"), F.lit(True).alias("fresh")))
+    around = both.repartition("member").groupBy("member", "hub").agg(F.bool_or("fresh").alias("fresh"))
+    known = codes.select(F.col("node").alias("member"), "code")
+    if anew:
+        known = known.withColumn("least", F.lit(-1.5).cast("float"))
+    else:
+        least = lists.select(F.col("id").alias("member"), F.when(F.size("sims") >= WIDTH, F.array_min("sims")).otherwise(F.lit(-1.5)).cast("float").alias("least"))
+        known = known.join(least, "member", "left").withColumn("least", F.coalesce("least", F.lit(-1.5).cast("float")))
+    met = around.join(known, "member").select("hub", "member", "fresh", "least", "code").repartition("hub").sortWithinPartitions("hub")
+    proposed = met.mapInArrow(lambda batches: local_joins(batches, read), LISTS)
+    return merged(proposed if anew else proposed.unionByName(lists.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))), WIDTH)
+
+
+def rounds_of(codes: DataFrame, lists: DataFrame, scratch: Scratch, read=decoded, anew: bool = False) -> tuple[DataFrame, int]:
+    """Rounds until hardly any entry is new; `lists` is a table of the scratch folder and is dropped."""
+    for turn in range(1, ROUNDS + 1):
+        after = scratch.cut(descended(codes, lists, turn, read, anew and turn == 1))
+        scratch.drop(lists)
+        lists = after
+        n = lists.agg(F.sum(F.size("others")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
+        if (n["fresh"] or 0) <= SETTLED * (n["all"] or 0):
+            break
+    return lists, turn
 
 
 @dataclass
-class Cells:
-    centres: np.ndarray
-    planes: np.ndarray
-    salts: dict[int, int]
-
-    def near(self, units: np.ndarray, each: int = CELLS_EACH) -> np.ndarray:
-        scores = units @ self.centres.T
-        each = min(each, len(self.centres))
-        best = np.argpartition(-scores, each - 1, axis=1)[:, :each].astype(np.int64)
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
-        if len(self.planes):
-            weights = np.int64(1) << np.arange(len(self.planes), dtype=np.int64)
-            for k in range(each):
-                side = ((units - self.centres[best[:, k]]) @ self.planes.T > 0) @ weights
-                best[:, k] = best[:, k] * (1 << len(self.planes)) + side
-        return best
-
-    def salted(self, ids: list[str], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (places in `ids`) and their blocks. A vector of a crowded cell goes to two blocks of it, drawn
-        independently, so that the blocks overlap and its graph is one."""
-        rows, blocks = np.repeat(np.arange(len(ids)), cells.shape[1]), (cells << 20).ravel()
-        if self.salts:
-            more_rows, more_blocks = [], []
-            for at, (row, cell) in enumerate(zip(rows.tolist(), cells.ravel().tolist())):
-                if cell in self.salts:
-                    first, second = (xxhash.xxh3_64_intdigest(ids[row], seed) % self.salts[cell] for seed in (1, 2))
-                    blocks[at] += first
-                    more_rows.append(row)
-                    more_blocks.append((cell << 20) + (1 << 19) + second)
-            rows, blocks = np.concatenate([rows, np.array(more_rows, np.int64)]), np.concatenate([blocks, np.array(more_blocks, np.int64)])
-        return rows, blocks
-
-
-def fit(sample: np.ndarray, centres: int, planes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means on the sample, and hyperplanes that split cells further."""
-    rng = np.random.default_rng(5)
-    units = unit(sample).astype(np.float32)
-    middle = units[rng.choice(len(units), min(centres, len(units)), replace=False)].copy()
-    for _ in range(KMEANS_ROUNDS):
-        owner = (units @ middle.T).argmax(axis=1)
-        sums = np.zeros_like(middle)
-        np.add.at(sums, owner, units)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        middle = np.where(norms > 0, sums / np.maximum(norms, 1e-12), middle)
-    return middle, rng.standard_normal((planes, sample.shape[1])).astype(np.float32)
-
-
-def cells_of(v: Vectors, scratch: Scratch) -> tuple[Cells, DataFrame | None, int]:
-    """Fitted cells, the cells of each class (id, cells) and the number of classes."""
-    n = v.members.filter("id = rep").count()
-    wanted = max(1, n // CELL_SIZE)
-    centres = min(MOST_CENTRES, wanted)
-    planes = max(0, int(np.ceil(np.log2(wanted / centres)))) if wanted > centres else 0
-    picked = v.members.filter("id = rep").select("id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(centres * SAMPLE_PER_CENTRE)
-    picked = {r["id"] for r in picked.collect()}
-    chosen = v.raw.sparkSession.sparkContext.broadcast(picked)
-
-    def sample(ids, rows):
-        at = [i for i, x in enumerate(ids) if x in chosen.value]
-        return {"id": [ids[i] for i in at], "vec": [rows[i].tobytes() for i in at]}
-
-    found = sorted(v.mapped("id string, vec binary", sample).collect())
-    if not found:
-        return Cells(np.zeros((1, v.dimensions), np.float32), np.zeros((0, v.dimensions), np.float32), {}), None, n
-    fitted = Cells(*fit(np.stack([np.frombuffer(r["vec"], dtype=np.float32) for r in found]), centres, planes), {})
-
-    def assigned(ids, rows):
-        return {"id": ids, "cells": fitted.near(unit(rows).astype(np.float32)).tolist() if len(rows) else []}
-
-    home = scratch.cut(v.mapped("id string, cells array<long>", assigned))
-    counts = home.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_MOST).limit(MOST_BROADCAST)
-    fitted.salts = {r["cell"]: -(-r["n"] // CELL_MOST) for r in counts.collect()}
-    return fitted, home, n
-
-
-EDGES = "id string, other string, cosine double, far boolean"
-
-
-def is_upper(id: str) -> bool:
-    return xxhash.xxh3_64_intdigest(id, 77) % UPPER == 0
-
-
-def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(np.einsum("ij,ij->i", a, b), DIGITS)
-
-
-def _exact_best(wide: np.ndarray, start: int, near: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k nearest of the candidates `near` of each row from `start` on, by exact cosine and smaller place."""
-    best = np.empty((len(near), k), dtype=np.int64)
-    counts = near.sum(axis=1)
-    few, many = np.flatnonzero(counts <= MANY), np.flatnonzero(counts > MANY)
-    if len(few):
-        row, other = np.nonzero(near[few])
-        exact = exact_cosines(wide[start + few[row]], wide[other])
-        first = np.cumsum(counts[few]) - counts[few]
-        best[few] = other[np.lexsort((other, -exact, row))[first[:, None] + np.arange(k)]]
-    if len(many):
-        exact = np.where(near[many], np.round(wide[start + many] @ wide.T, DIGITS), -2)
-        best[many] = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    return best
-
-
-def _within(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.drop_duplicates("id").sort_values("id")
-    ids = frame["id"].to_numpy()
-    n = len(ids)
-    if n < 2:
-        return pd.DataFrame({"id": [], "other": [], "cosine": [], "far": []}).astype({"id": str, "other": str, "cosine": float, "far": bool})
-    raw = np.frombuffer(b"".join(frame["vec"]), dtype=np.float32).reshape(n, -1)
-    wide = unit(raw)
-    narrow = wide.astype(np.float32)
-    k = min(WIDTH, n - 1)
-    # Twice what a float32 score of two unit vectors can be off by.
-    slack = np.float32(2 * (raw.shape[1] + 3) * 2.0**-24)
-    left, right, value, far = [], [], [], []
-    upper = np.flatnonzero([is_upper(i) for i in ids])
-    upper = upper if len(upper) else np.array([0])
-    for start in range(0, n, ROWS_AT_ONCE):
-        scores = narrow[start : start + ROWS_AT_ONCE] @ narrow.T
-        rows = np.arange(len(scores))
-        scores[rows, rows + start] = -2
-        least = np.partition(scores, n - k, axis=1)[:, n - k, None] - slack
-        best = _exact_best(wide, start, scores >= least, k)
-        exact = exact_cosines(np.repeat(wide[start : start + ROWS_AT_ONCE], k, axis=0), wide[best.ravel()])
-        left.append(np.repeat(ids[start : start + ROWS_AT_ONCE], k))
-        right.append(ids[best.ravel()])
-        value.append(exact)
-        far.append(np.zeros(len(left[-1]), dtype=bool))
-        # Links out of the tight groups: the nearest upper vectors beyond the list.
-        some = scores[:, upper].copy()
-        some[some >= least] = -2
-        few = min(FAR_LINKS, len(upper))
-        best = np.argsort(-some, axis=1, kind="stable")[:, :few]
-        kept = np.take_along_axis(some, best, 1).ravel() > -2
-        left.append(np.repeat(ids[start : start + ROWS_AT_ONCE], few)[kept])
-        right.append(ids[upper[best.ravel()]][kept])
-        value.append(np.take_along_axis(some, best, 1).ravel()[kept].astype(np.float64))
-        far.append(np.ones(len(left[-1]), dtype=bool))
-    return pd.DataFrame({"id": np.concatenate(left), "other": np.concatenate(right), "cosine": np.concatenate(value), "far": np.concatenate(far)})
-
-
-def nearest(edges: DataFrame, k: int, by: str = "id") -> DataFrame:
-    """The k nearest others of each id; lists are short, as every source of edges gives few per id."""
-    w = W.partitionBy(by).orderBy(F.col("cosine").desc(), F.col("other" if by == "id" else "id"))
-    return edges.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")
-
-
-def _codes(ids, rows) -> dict:
-    units = unit(rows).astype(np.float32) if len(rows) else rows
-    codes = [np.round(u * (127 / np.abs(u).max())).astype(np.int8) for u in units]
-    return {"id": ids, "code": [(c / np.float32(1)).astype(np.int8).tobytes() for c in codes]}
+class Graph:
+    lists: DataFrame  # id (a node), others, sims, fresh: the WIDTH nearest nodes of each node by their codes
+    vectors: Vectors
+    rounds: int
 
 
-@F.pandas_udf(T.DoubleType())
-def code_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.int8).reshape(len(s), -1).astype(np.float32) for s in (a, b))
-    return pd.Series((np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)).astype(np.float64))
+def build(v: Vectors, scratch: Scratch) -> Graph:
+    lists, turns_made = rounds_of(v.nodes, scratch.cut(start_lists(v)), scratch)
+    # Codes can't order what is as near as a whole list of TIGHT entries; those nodes go on with their vectors.
+    full = lists.filter((F.size("others") >= WIDTH) & (F.array_min("sims") >= TIGHT))
+    if full.limit(1).collect():
+        tight = scratch.cut(full)
+        own = tight.select(F.col("id").alias("other"))
+        entries = tight.select("id", F.explode("others").alias("other")).join(own, "other").groupBy("id").agg(F.collect_list("other").alias("others"))
+        start = entries.select("id", "others", F.transform("others", lambda x: F.lit(-1.0).cast("float")).alias("sims"), F.transform("others", lambda x: F.lit(True)).alias("fresh"))
+        codes = scratch.cut(v.of(tight.select(F.col("id").alias("node"))).withColumnRenamed("vec", "code"))
+        sharp, _ = rounds_of(codes, scratch.cut(start), scratch, as_they_are, anew=True)
+        lists = scratch.cut(merged(lists.unionByName(sharp), WIDTH + SHARPER))
+    return Graph(lists, v, turns_made)
 
 
 @F.pandas_udf(T.DoubleType())
 def raw_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """To DIGITS places, so that equal cosines are equal however they were summed."""
     if not len(a):
         return pd.Series([], dtype="float64")
     x, y = (unit(np.frombuffer(b"".join(s), dtype=np.float32).reshape(len(s), -1)) for s in (a, b))
-    return pd.Series(exact_cosines(x, y))
+    return pd.Series(np.round(np.einsum("ij,ij->i", x, y), DIGITS))
 
 
-@dataclass
-class Graph:
-    edges: DataFrame  # id, other, cosine: the WIDTH nearest of each class
-    links: DataFrame  # id, other, cosine: links to upper vectors beyond them, which hold the graph together
-    vectors: Vectors
-    cells: Cells
-    rounds: int
-
+def nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest others of each id; lists are short, as every source of edges gives few per id."""
+    w = W.partitionBy("id").orderBy(F.col("cosine").desc(), F.col("other"))
+    return edges.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")
 
-def raw_rows(v: Vectors) -> DataFrame:
-    return v.mapped("id string, vec binary", lambda ids, rows: {"id": ids, "vec": [r.tobytes() for r in rows]})
 
+def exact_edges(graph: Graph, scratch: Scratch, k: int, least: float | None = None) -> DataFrame:
+    """id, other (nodes), cosine: the k nearest of each node's list, exactly; with `least` only what is that near.
 
-def build(v: Vectors, scratch: Scratch) -> Graph:
-    cells, home, n = cells_of(v, scratch)
-
-    def placed(ids, rows):
-        if not len(rows):
-            return {"cell": [], "id": [], "vec": []}
-        at, blocks = cells.salted(ids, cells.near(unit(rows).astype(np.float32)))
-        return {"cell": blocks, "id": [ids[i] for i in at], "vec": [rows[i].tobytes() for i in at]}
-
-    spread = v.mapped("cell long, id string, vec binary", placed)
-    first = spread.groupBy("cell").applyInPandas(_within, EDGES)
-    first = scratch.cut(first.distinct())
-    edges = scratch.cut(nearest(first.filter("not far").drop("far").distinct(), WIDTH))
-
-    def homes(part: pa.RecordBatch) -> dict:
-        ids, own = part.column(0).to_pylist(), part.column(1).to_pylist()
-        out: list[list[int]] = [[] for _ in ids]
-        for i, block in zip(*(x.tolist() for x in cells.salted(ids, np.array(own, dtype=np.int64)))):
-            out[i].append(block)
-        return {"id": ids, "homes": out}
-
-    if n > 1:
-        home = map_arrow(home, "id string, homes array<long>", None, homes)
-        home = scratch.cut(home) if cells.salts else home
-    codes = scratch.cut(v.mapped("id string, code binary", _codes)) if n > 1 else None
-    rounds = 0
-    while n > 1 and rounds < ROUNDS:
-        rounds += 1
-        back = nearest(edges, WIDTH, "other").select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine")
-        around = edges.unionByName(back).select("id", "other").distinct()
-        around = scratch.cut(around.join(home, "id").join(home.select(F.col("id").alias("other"), F.col("homes").alias("other_homes")), "other"))
-        # Neighbours of one hub; pairs that share a cell were compared there.
-        left = around.select(F.col("id").alias("hub"), F.col("other").alias("a"), F.col("other_homes").alias("ha"))
-        right = around.select(F.col("id").alias("hub"), F.col("other").alias("b"), F.col("other_homes").alias("hb"))
-        met = left.join(right, "hub").filter("a < b and not arrays_overlap(ha, hb)").select("a", "b")
-        two = around.filter("not arrays_overlap(homes, other_homes)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        fresh = met.distinct().join(two.distinct(), ["a", "b"], "left_anti")
-        least = edges.groupBy("id").agg(F.when(F.count(F.lit(1)) >= WIDTH, F.min("cosine")).otherwise(-2.0).alias("least"))
-        x = codes.join(least, "id", "left").select(F.col("id").alias("a"), F.col("code").alias("code_a"), F.coalesce("least", F.lit(-2.0)).alias("least_a"))
-        y = codes.join(least, "id", "left").select(F.col("id").alias("b"), F.col("code").alias("code_b"), F.coalesce("least", F.lit(-2.0)).alias("least_b"))
-        scored = fresh.join(x, "a").join(y, "b").withColumn("c", code_cosine("code_a", "code_b"))
-        good = scratch.cut(scored.filter(F.col("c") + CODE_ERROR >= F.least("least_a", "least_b")).select("a", "b"))
-        if good.count() == 0:
-            break
-        raw = raw_rows(v)
-        ends = good.select(F.col("a").alias("id")).union(good.select("b")).distinct()
-        raw = scratch.cut(raw.join(ends, "id", "left_semi"))
-        exact = good.join(raw.select(F.col("id").alias("a"), F.col("vec").alias("p")), "a").join(raw.select(F.col("id").alias("b"), F.col("vec").alias("q")), "b").select("a", "b", raw_cosine("p", "q").alias("cosine"))
-        exact = scratch.cut(exact)
-        both = exact.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(exact.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
-        renewed = scratch.cut(nearest(edges.withColumn("new", F.lit(0)).unionByName(both.withColumn("new", F.lit(1))).groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.min("new").alias("new")), WIDTH))
-        added = renewed.filter("new = 1").count()
-        edges = renewed.drop("new")
-        if added <= SETTLED * n * WIDTH:
-            break
-    return Graph(edges, first.filter("far").drop("far"), v, cells, rounds)
+    Entries that the error of the codes leaves below the k-th, or below `least`, are not scored.
+    """
+    at = F.coalesce(F.get("sims", F.lit(k - 1)), F.lit(-1.0)) - 2 * CODE_ERROR
+    limit = at if least is None else F.greatest(at, F.lit(least - 2 * CODE_ERROR))
+    entries = graph.lists.select("id", F.explode(F.arrays_zip("others", "sims")).alias("e"), limit.alias("limit")).filter(F.col("e.sims") >= F.col("limit"))
+    pairs = scratch.cut(entries.select(F.least("id", "e.others").alias("a"), F.greatest("id", "e.others").alias("b")).distinct())
+    raw = scratch.cut(graph.vectors.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    scored = pairs.join(raw.select(F.col("node").alias("a"), F.col("vec").alias("p")), "a").join(raw.select(F.col("node").alias("b"), F.col("vec").alias("q")), "b").select("a", "b", raw_cosine("p", "q").alias("cosine"))
+    if least is not None:
+        scored = scored.filter(F.col("cosine") >= least)
+    exact = scratch.cut(scored)
+    scratch.drop(raw)
+    both = exact.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(exact.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
+    return nearest(both, k)
+
+
+def named(v: Vectors, edges: DataFrame) -> DataFrame:
+    """rep, other_rep, cosine of edges between nodes."""
+    ids = v.nodes.select("node", F.col("id").alias("name"))
+    out = edges.join(ids.select(F.col("node").alias("id"), F.col("name").alias("rep")), "id").join(ids.select(F.col("node").alias("other"), F.col("name").alias("other_rep")), "other")
+    return out.select("rep", "other_rep", "cosine")
 
 
 def spread(v: Vectors, lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -358,78 +404,74 @@ def spread(v: Vectors, lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return nearest(asked.join(short, "rep").filter("id != other").select("id", "other", "cosine"), k)
 
 
-def expanded(graph: Graph, k: int) -> DataFrame:
+def expanded(graph: Graph, scratch: Scratch, k: int, least: float | None = None) -> DataFrame:
     """id, other, cosine: the k nearest other ids of every id, classes expanded to their members."""
     members = graph.vectors.members
-    near = graph.edges.select(F.col("id").alias("rep"), F.col("other").alias("other_rep"), "cosine")
-    own = members.select("rep").distinct().select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
+    near = named(graph.vectors, exact_edges(graph, scratch, k, least))
+    own = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    own = (own.filter("n > 1") if least is not None else own).select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
     return spread(graph.vectors, near.unionByName(own), members, k)
 
 
-def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, **walk) -> DataFrame:
-    """id, other, cosine: the k nearest other ids found for each query (id, vec binary of float32) by greedy walks."""
-    v = graph.vectors
-    asked = queries.select("id", F.col("id").alias("rep"))
-    own = v.members.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
-    return spread(v, _found(graph, queries, own, scratch, k, **walk), asked, k)
-
-
 def search_members(graph: Graph, ids: DataFrame, scratch: Scratch, k: int = 5, **walk) -> DataFrame:
-    """The same for usable ids; those of one class share the walk of its vector."""
+    """id, other, cosine: the k nearest other ids found for each of some usable ids; those of one class share a walk."""
     v = graph.vectors
     asked = scratch.cut(v.members.join(ids.select("id").distinct(), "id", "left_semi"))
-    reps = scratch.cut(asked.select("rep").distinct())
-    queries = raw_rows(v).join(size_checked(reps.select(F.col("rep").alias("id")), MOST_BROADCAST), "id", "left_semi")
-    own = reps.select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("cosine"))
-    return spread(v, _found(graph, queries, own, scratch, k, **walk), asked, k)
-
-
-def _found(graph: Graph, queries: DataFrame, own: DataFrame, scratch: Scratch, k: int, **walk) -> DataFrame:
-    """rep (of the query), other_rep, cosine: the nearest classes, with the query's own."""
-    near = nearest(walked(graph, queries, scratch, **walk), k + 1).select(F.col("id").alias("rep"), F.col("other").alias("other_rep"), "cosine")
-    return scratch.cut(near.unionByName(own).groupBy("rep", "other_rep").agg(F.max("cosine").alias("cosine")))
-
-
-def walked(graph: Graph, queries: DataFrame, scratch: Scratch, keep: int = 24, expand: int = 8, most_rounds: int = 12) -> DataFrame:
-    """id, other, cosine: the classes seen from each query (id, vec binary of float32)."""
-    v, cells = graph.vectors, graph.cells
-
-    def entries(ids, rows):
-        if not len(rows):
-            return {"cell": [], "other": [], "upper": []}
-        at = cells.near(unit(rows).astype(np.float32), 1)[:, 0]
-        up = np.array([is_upper(i) for i in ids])
-        least: dict[int, int] = {}
-        for i in sorted(range(len(ids)), key=ids.__getitem__):
-            least.setdefault(int(at[i]), i)
-        taken = np.union1d(np.flatnonzero(up), np.array(list(least.values())))
-        return {"cell": at[taken], "other": [ids[i] for i in taken], "upper": up[taken]}
-
-    # The upper vectors of each cell and its least id, so that no cell is without an entry.
-    placed = scratch.cut(v.mapped("cell long, other string, upper boolean", entries))
-    entry = placed.filter("upper").select("cell", "other").union(placed.groupBy("cell").agg(F.min("other").alias("other"))).distinct()
-
-    def starts(part: pa.RecordBatch) -> dict:
-        ids, rows = part.column(0).to_pylist(), [np.frombuffer(b, dtype=np.float32) for b in part.column(1).to_pylist()]
-        at = cells.near(unit(np.stack(rows)).astype(np.float32), CELLS_EACH)
-        return {"id": [i for i in ids for _ in range(at.shape[1])], "cell": at.ravel()}
+    reps = asked.select(F.col("rep").alias("id")).distinct()
+    queries = scratch.cut(v.nodes.join(reps, "id", "left_semi").select("node", "id", "hashes"))
+    vec = scratch.cut(v.of(queries.select("node")).join(queries, "node").select("id", "vec", "hashes"))
+    return spread(v, _found(graph, vec, scratch, k, **walk).unionByName(reps.select(F.col("id").alias("rep"), F.col("id").alias("other_rep"), F.lit(1.0).alias("cosine"))).groupBy("rep", "other_rep").agg(F.max("cosine").alias("cosine")), asked, k)
+
+
+def search(graph: Graph, queries: DataFrame, scratch: Scratch, k: int = 5, **walk) -> DataFrame:
+    """id, other, cosine: the k nearest ids found for each query (id, vec array of float); an id of its own is no answer."""
+    dimensions = graph.vectors.dimensions
+
+    def make(part: pa.RecordBatch) -> dict:
+        at, rows = stacked(part.column(1), dimensions)
+        hashes = encoded(rows)[1] if len(rows) else rows
+        return {"id": part.column(0).take(pa.array(at)), "vec": [r.tobytes() for r in rows], "hashes": list_array(hashes.astype(np.int32).ravel(), np.full(len(rows), ORDERS), pa.int32())}
 
+    vec = scratch.cut(map_arrow(queries.select(F.col("id").cast("string").alias("id"), "vec"), "id string, vec binary, hashes array<int>", None, make))
+    return spread(graph.vectors, _found(graph, vec, scratch, k, **walk), vec.select("id", F.col("id").alias("rep")), k)
+
+
+def _found(graph: Graph, queries: DataFrame, scratch: Scratch, k: int, **walk) -> DataFrame:
+    """rep (of the query), other_rep, cosine: the nearest classes."""
+    near = nearest(walked(graph, queries, scratch, **walk), k + 1)
+    ids = graph.vectors.nodes.select(F.col("node").alias("other"), F.col("id").alias("other_rep"))
+    return scratch.cut(near.join(ids, "other").select(F.col("id").alias("rep"), "other_rep", "cosine"))
+
+
+def walked(graph: Graph, queries: DataFrame, scratch: Scratch, keep: int = 32, expand: int = 8, most_rounds: int = 12) -> DataFrame:
+    """id, other (a node), cosine: the nodes seen from each query (id, vec binary of float32, hashes)."""
+    v = graph.vectors
+    # A node is entered from the queries that share half of a sign hash with it; of such a bucket ENTRIES nodes are entries.
+    half = lambda nodes, *more: nodes.select(*more, F.explode(F.array(*[F.shiftleft(F.lit(t).cast("long"), HASH_BITS) + F.shiftright(F.get("hashes", F.lit(t)), HASH_BITS // 2) for t in range(ORDERS)])).alias("bucket"))
+    by = W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+    entry = half(v.nodes, "node").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= ENTRIES).select("bucket", F.col("node").alias("other"))
+    common = v.nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("node"), "node").limit(COMMON_ENTRIES)
     asked = scratch.cut(queries.select("id", "vec"))
-    raw = scratch.cut(raw_rows(v).withColumnRenamed("id", "other").withColumnRenamed("vec", "q"))
-    turned = [e.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine") for e in (nearest(graph.edges, WIDTH, "other"), nearest(graph.links, MOST_BACK, "other"))]
-    graph_edges = scratch.cut(graph.edges.unionByName(graph.links).unionByName(turned[0]).unionByName(turned[1]).select(F.col("id").alias("via"), "other").distinct())
+    raw = scratch.cut(v.of(v.nodes.select("node")).select(F.col("node").alias("other"), F.col("vec").alias("q")))
+    out = graph.lists.select(F.col("id").alias("via"), F.explode("others").alias("other"))
+    back = out.withColumn("n", F.row_number().over(W.partitionBy("other").orderBy(F.xxhash64("via"), "via"))).filter(F.col("n") <= BACK).select(F.col("other").alias("via"), F.col("via").alias("other"))
+    places = W.partitionBy("part").orderBy("hash", "node")
+    beside = ordered(v, range(2)).select("hash", "node", F.spark_partition_id().alias("part")).withColumn("other", F.lead("node").over(places)).filter("other is not null")
+    links = beside.select(F.col("node").alias("via"), "other").unionByName(beside.select(F.col("other").alias("via"), F.col("node").alias("other")))
+    edges = scratch.cut(out.unionByName(back).unionByName(links).distinct())
 
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().join(asked, "id").join(raw, "other").select("id", "other", raw_cosine("vec", "q").alias("cosine"))
 
-    seen = scratch.cut(scored(map_arrow(asked, "id string, cell long", None, starts).join(entry, "cell").select("id", "other")).withColumn("done", F.lit(False)))
+    starts = half(queries, "id").join(entry, "bucket").select("id", "other").unionByName(asked.select("id").join(F.broadcast(common)))
+    seen = scratch.cut(scored(starts).withColumn("done", F.lit(False)))
     for _ in range(most_rounds):
         best = seen.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))).filter(F.col("place") <= keep)
         ahead = best.filter("not done").withColumn("turn", F.row_number().over(W.partitionBy("id").orderBy("place"))).filter(F.col("turn") <= expand)
         ahead = scratch.cut(ahead.select("id", F.col("other").alias("via")))
         if not ahead.limit(1).collect():
             break
-        reached = ahead.join(graph_edges, "via").select("id", "other").distinct().join(seen.select("id", "other"), ["id", "other"], "left_anti")
+        reached = ahead.join(edges, "via").select("id", "other").distinct().join(seen.select("id", "other"), ["id", "other"], "left_anti")
         marked = seen.join(ahead.select("id", F.col("via").alias("other"), F.lit(True).alias("now")), ["id", "other"], "left").select("id", "other", "cosine", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         seen = scratch.cut(marked.unionByName(scored(reached).withColumn("done", F.lit(False))))
     return seen.drop("done")

@@ -73,13 +73,15 @@ def _graph(spark: SparkSession, d: str, scratch: Scratch) -> neighbours.Graph:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.expanded(_graph(spark, d, Scratch(spark, "p4")), NEIGHBOURS).filter(F.col("cosine") >= LEAST_COSINE)
+    scratch = Scratch(spark, "p4")
+    near = neighbours.expanded(_graph(spark, d, scratch), scratch, NEIGHBOURS, LEAST_COSINE)
     return near.select(F.least("id", "other").alias("article_id_a"), F.greatest("id", "other").alias("article_id_b")).distinct()
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest other articles of every article with a usable vector."""
-    near = neighbours.expanded(_graph(spark, d, Scratch(spark, "p4")), NEIGHBOURS)
+    scratch = Scratch(spark, "p4")
+    near = neighbours.expanded(_graph(spark, d, scratch), scratch, NEIGHBOURS)
     return near.select(F.col("id").alias("article_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
