@@ -6,7 +6,7 @@ by about 0.01) and a few sign hashes. The start lists are poor on purpose: in ea
 meets the WINDOW nodes before and after it and keeps the SEEDS best. Then NN-descent does the work. In each round a hub
 is joined with the codes of its members (its list and up to BACK of those that list it); members of one hub are scored
 with each other if one of them is new there, each proposes the PROPOSED best to each other where they beat the end of
-its list, and lists keep the WIDTH best, ties going to smaller nodes. It ends when hardly any entry is new. All of it is
+its list, and lists keep the WIDTH best, ties going to smaller nodes. It ends after LEAST_ROUNDS rounds when hardly any entry is new. All of it is
 alike at every size: nothing is gathered but one number a round, and no switch depends on the number of vectors.
 
 Codes can't order vectors that lie closer than their error. Where a whole list is nearer than TIGHT, its node goes on
@@ -40,14 +40,14 @@ from ..tables import Scratch, size_checked
 from .arrow import list_array, map_arrow
 
 CODE_PLACES, STEP, CODE_ERROR = 384, 0.3352, 0.015  # the step suits a normal distribution; the error is of either code
-ORDERS, HASH_BITS, WINDOW, SEEDS = 8, 20, 12, 4
+ORDERS, HASH_BITS, WINDOW, SEEDS = 8, 30, 12, 4
 WIDTH, BACK, PROPOSED = 24, 24, 6
-ROUNDS, SETTLED = 8, 0.03
+LEAST_ROUNDS, ROUNDS, SETTLED = 4, 8, 0.03
 TIGHT, SHARPER = 0.9, 12
 DIGITS = 12
 MOST_BROADCAST = 200_000
 HUBS_AT_ONCE, ENTRIES_AT_ONCE = 64, 1 << 20
-ENTRIES, COMMON_ENTRIES = 8, 16
+ENTRY_BITS, ENTRIES, COMMON_ENTRIES = 10, 8, 16
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -314,14 +314,21 @@ def descended(codes: DataFrame, lists: DataFrame, turn: int, read=decoded, anew:
     return merged(proposed if anew else proposed.unionByName(lists.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))), WIDTH)
 
 
+def released(df: DataFrame) -> None:
+    """Let Spark's cleaner find the shuffle files of what is no longer referred to, round by round."""
+    if jvm := getattr(df.sparkSession.sparkContext, "_jvm", None):
+        jvm.java.lang.System.gc()
+
+
 def rounds_of(codes: DataFrame, lists: DataFrame, scratch: Scratch, read=decoded, anew: bool = False) -> tuple[DataFrame, int]:
     """Rounds until hardly any entry is new; `lists` is a table of the scratch folder and is dropped."""
     for turn in range(1, ROUNDS + 1):
         after = scratch.cut(descended(codes, lists, turn, read, anew and turn == 1))
         scratch.drop(lists)
         lists = after
+        released(lists)
         n = lists.agg(F.sum(F.size("others")).alias("all"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
-        if (n["fresh"] or 0) <= SETTLED * (n["all"] or 0):
+        if not n["fresh"] or turn >= LEAST_ROUNDS and n["fresh"] <= SETTLED * n["all"]:
             break
     return lists, turn
 
@@ -446,8 +453,8 @@ def _found(graph: Graph, queries: DataFrame, scratch: Scratch, k: int, **walk) -
 def walked(graph: Graph, queries: DataFrame, scratch: Scratch, keep: int = 32, expand: int = 8, most_rounds: int = 12) -> DataFrame:
     """id, other (a node), cosine: the nodes seen from each query (id, vec binary of float32, hashes)."""
     v = graph.vectors
-    # A node is entered from the queries that share half of a sign hash with it; of such a bucket ENTRIES nodes are entries.
-    half = lambda nodes, *more: nodes.select(*more, F.explode(F.array(*[F.shiftleft(F.lit(t).cast("long"), HASH_BITS) + F.shiftright(F.get("hashes", F.lit(t)), HASH_BITS // 2) for t in range(ORDERS)])).alias("bucket"))
+    # A node is entered from the queries that share the first ENTRY_BITS of a sign hash with it; of such a bucket ENTRIES nodes are entries.
+    half = lambda nodes, *more: nodes.select(*more, F.explode(F.array(*[F.shiftleft(F.lit(t).cast("long"), HASH_BITS) + F.shiftright(F.get("hashes", F.lit(t)), HASH_BITS - ENTRY_BITS) for t in range(ORDERS)])).alias("bucket"))
     by = W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
     entry = half(v.nodes, "node").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= ENTRIES).select("bucket", F.col("node").alias("other"))
     common = v.nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("node"), "node").limit(COMMON_ENTRIES)
