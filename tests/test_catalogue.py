@@ -1,6 +1,6 @@
 import pytest
 
-from tidemill.plans import catalogue
+from tidemill.plans import catalogue, lifecycle, reading, training  # noqa: F401
 
 from .oracle import differing
 

@@ -59,13 +59,25 @@ def test_diverse_top_is_the_greedy_choice(spark, seed):
     assert got == greedy(order, *caps)
 
 
-def test_freshness_and_fatigue(spark):
-    now = F.timestamp_micros(F.lit(int(dt.datetime(2026, 8, 25, 22, tzinfo=dt.UTC).timestamp() * 1e6)))
-    df = spark.createDataFrame([("2026-08-25 00:00:00",), ("2026-07-01 00:00:00",), (None,)], "p string")
-    assert [r[0] for r in df.select(ranking.freshness(F.col("p").cast("timestamp"), now)).collect()] == [0.8, 0.0, 0.0]
-    h = spark.createDataFrame([("x", "t", "2026-08-25"), ("y", "t", "2026-08-24"), ("z", "u", "2026-08-01")], "author string, theme string, day string").withColumn("day", F.to_date("day"))
-    assert rows(ranking.author_fatigue(h, now)) == [("x", 100.0), ("y", 1.25), ("z", 0.0)]
-    assert rows(ranking.theme_fatigue(h, now)) == [("t", 0.7, 0.0), ("u", 0.0, 0.2)]
+def test_freshness_and_fatigue_against_a_plain_rule(spark):
+    rng = random.Random(21)
+    at = dt.datetime(2024, 3, 9, 13, 20, tzinfo=dt.UTC)
+    now = F.timestamp_micros(F.lit(int(at.timestamp() * 1e6)))
+    ages = [rng.uniform(-2, 45) for _ in range(80)]
+    df = spark.createDataFrame([((at - dt.timedelta(days=a)),) for a in ages], "p timestamp")
+    steps = lambda a: next((v for most, v in ((3, 0.8), (7, 0.64), (14, 0.4), (30, 0.16)) if a <= most), 0.0)
+    assert [r[0] for r in df.select(ranking.freshness(F.col("p"), now)).collect()] == [steps(a) for a in ages]
+    assert spark.range(1).select(ranking.freshness(F.lit(None).cast("timestamp"), now)).first()[0] == 0.0
+    items = [(rng.choice("pqrs"), rng.choice("xyz"), (at - dt.timedelta(days=rng.randrange(3, 40))).date()) for _ in range(40)]
+    h = spark.createDataFrame(items, "author string, theme string, day date")
+    age = lambda d: (at - (dt.datetime(d.year, d.month, d.day, tzinfo=dt.UTC) - dt.timedelta(hours=8))).total_seconds() / 86400
+    part = lambda a: 1.25 if a <= 3 else 0.65 if a <= 7 else 0.2 if a <= 14 else 0.0
+    for who, penalty in rows(ranking.author_fatigue(h, now)):
+        own = [age(d) for a, _, d in items if a == who]
+        assert penalty == (100.0 if min(own) < 2 else pytest.approx(sum(map(part, own)), abs=1e-3))
+    for theme, penalty, bonus in rows(ranking.theme_fatigue(h, now)):
+        own = [age(d) for _, t, d in items if t == theme]
+        assert penalty == pytest.approx(0.35 * sum(a <= 7 for a in own), abs=1e-3) and bonus == (0.2 if len(own) == 1 else 0.0)
 
 
 def test_signals_without_vectors(spark):
@@ -77,16 +89,43 @@ def test_signals_without_vectors(spark):
     assert got[0][2] == pytest.approx((0.5**0.5 - 0.25) * 0.65) and got[1] == ("b", 0.0, 0.0, 0.0)
 
 
-def test_pages_and_sources(spark):
-    df = spark.createDataFrame([(5, 20), (5, 2), (99, 0), (7, 20), (45, 20)], "d int, p int")
-    got = [(r[0], r[1]) for r in df.select(planning.next_depth(F.col("d"), F.col("p")), planning.page_window(F.col("d"))).collect()]
-    assert [g[0] for g in got[:3]] == [5, 7, 100] and got[0][1] == [1, 2, 3, 4, 5] and got[3][1] == [1, 4, 5, 6, 7] and got[4][1] == [1, 42, 43, 44, 45]
-    s = spark.createDataFrame(
-        [("high-a", 5, 0.9, "2026-01-03"), ("high-b", 5, 0.8, "2026-01-03"), ("medium", 5, 0.5, "2026-01-03"), ("low", 5, 0.1, "2026-01-02"), ("old", 5, 0.05, "2026-01-01"), ("empty", 0, 0.99, "2025-01-01")],
-        "id string, pending int, score double, last_scanned_at string",
-    )
-    assert [r["id"] for r in planning.exploit_explore(s, 4).orderBy("place").collect()] == ["high-a", "high-b", "medium", "empty"]
-    assert [r["id"] for r in planning.exploit_explore(s.filter("id != 'empty'"), 4).orderBy("place").collect()] == ["high-a", "high-b", "medium", "old"]
+def pages_by_hand(depth, most=5):
+    """Page 1, then as many of the last pages as there is room for."""
+    return list(range(1, depth + 1)) if depth <= most else [1, *range(depth - most + 2, depth + 1)]
+
+
+def test_pages_against_a_plain_rule(spark):
+    rng = random.Random(11)
+    cases = [(rng.randrange(1, 130), rng.randrange(0, 25)) for _ in range(60)]
+    df = spark.createDataFrame(cases, "d int, p int")
+    for (d, p), r in zip(cases, df.select(planning.page_window(F.col("d")).alias("w"), planning.next_depth(F.col("d"), F.col("p")).alias("n")).collect()):
+        assert r["w"] == pages_by_hand(d) and r["n"] == (min(d + 2, 100) if p < 10 else d)
+
+
+def chosen_by_hand(sources, count):
+    """The best with work, then the longest unseen of all others, then the best again, then the rest by age."""
+    left = dict(sources)
+    out = []
+    def take(keys):
+        for k in keys:
+            if len(out) < count and k in left:
+                out.append(k)
+                del left[k]
+    best = sorted((k for k, s in left.items() if s[0]), key=lambda k: (-left[k][1], k))
+    take(best[: max(1, count - 1)])
+    take(sorted(left, key=lambda k: (left[k][2], k))[:1])
+    take(best)
+    take(sorted(left, key=lambda k: (left[k][2], k)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sources_against_a_plain_rule(spark, seed):
+    rng = random.Random(seed)
+    sources = {f"s{i:02d}": (rng.choice([0, 3]), rng.randrange(20) / 20, f"2026-02-{rng.randrange(1, 28):02d}") for i in range(rng.choice([2, 5, 17]))}
+    df = spark.createDataFrame([(k, *v) for k, v in sources.items()], "id string, pending int, score double, last_scanned_at string")
+    count = rng.choice([1, 3, 6])
+    assert [r["id"] for r in planning.exploit_explore(df, count).orderBy("place").collect()] == chosen_by_hand(sources, count)
 
 
 def test_streaks(spark):

@@ -43,9 +43,16 @@ def minute_key(at: Column, zone: str = ZONE) -> Column:
     return F.date_format(F.from_utc_timestamp(at, zone), "yyyyMMddHHmm")
 
 
+def at_civil_minute(day: Column, minute: int, zone: str = ZONE) -> Column:
+    """The instant of a minute of a civil day."""
+    return F.to_utc_timestamp(day.cast("timestamp") + F.expr(f"interval {minute} minutes"), zone)
+
+
 def health_window(now: Column) -> Column:
-    """Civil date, minutes since midnight, the date that must be out by now and whether it is the grace half hour."""
+    """Civil date, minutes since midnight, the date that must be out by now, whether it is the grace half hour, and since
+    when a check must have run."""
     local = F.from_utc_timestamp(now, ZONE)
     minutes = F.hour(local) * 60 + F.minute(local)
     today = F.to_date(local)
-    return F.struct(today.alias("day"), minutes.alias("minutes"), F.when(minutes < 360, F.date_sub(today, 1)).otherwise(today).alias("expected"), ((minutes >= 360) & (minutes < 390)).alias("grace"))
+    since = at_civil_minute(F.when(minutes < 420, F.date_sub(today, 1)).otherwise(today), 390)
+    return F.struct(today.alias("day"), minutes.alias("minutes"), F.when(minutes < 360, F.date_sub(today, 1)).otherwise(today).alias("expected"), ((minutes >= 360) & (minutes < 390)).alias("grace"), since.alias("check_since"))

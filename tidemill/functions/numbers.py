@@ -25,5 +25,13 @@ def steps(x: Column, cuts: Sequence[tuple[float, float]], beyond: float) -> Colu
     return out.otherwise(beyond)
 
 
+def floor_steps(x: Column, cuts: Sequence[tuple[float, float]], below: float) -> Column:
+    """The value of the first cut that x reaches, cuts falling; `below` where it reaches none."""
+    out = None
+    for least, value in cuts:
+        out = F.when(x >= least, value) if out is None else out.when(x >= least, value)
+    return out.otherwise(below)
+
+
 def reading_minutes(words: Column, rate: int = 230) -> Column:
     return F.greatest(F.lit(1), F.ceil(words / rate)).cast("int")

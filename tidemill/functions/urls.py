@@ -29,3 +29,14 @@ def first_link_to(text: Column, host: str) -> Column:
     """The first link to a host in a text, without closing punctuation; null if there is none."""
     found = F.regexp_extract_all(text, F.lit(rf"(?i)(https?://(?:[a-z0-9-]+\.)*{host}/[^\s\"'<>]+)"), F.lit(1))
     return normalized_url(F.regexp_replace(F.get(found, F.lit(0)), r"[),.;]+$", ""))
+
+
+def links_in(text: Column) -> Column:
+    """The links of a text in order, without closing punctuation."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(https?://[^\s\"'<>]+)"), F.lit(1))
+    return F.transform(found, lambda u: F.regexp_replace(u, r"[),.;]+$", ""))
+
+
+def preferred(links: Column, pattern: str) -> Column:
+    """The first link of the pattern, else the first; null if there is none."""
+    return F.coalesce(F.get(F.filter(links, lambda u: u.rlike(pattern)), F.lit(0)), F.get(links, F.lit(0)))

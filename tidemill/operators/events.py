@@ -15,7 +15,9 @@ def newest_streak(df: DataFrame, key: str, day: str) -> DataFrame:
 
 def sliding_rates(df: DataFrame, at: str, bad: Column, length: str, slide: str, least: int, share: float) -> DataFrame:
     """Per sliding window the rows, the bad ones, and whether their rate is alarming."""
-    out = df.groupBy(F.window(at, length, slide).alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("int")).alias("bad"))
+    # Rows are counted per slide first; only the counts are spread to the windows they stand in.
+    counts = df.groupBy(F.window(at, slide).alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("int")).alias("bad")).select(F.col("s.start").alias("_at"), "rows", "bad")
+    out = counts.groupBy(F.window("_at", length, slide).alias("w")).agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "bad", ((F.col("rows") >= least) & (F.col("bad") >= share * F.col("rows"))).alias("alarm"))
 
 

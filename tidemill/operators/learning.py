@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import fnv1a, fnv1a_int
+from ..functions.hashing import fnv1a, fnv1a_any
+from ..functions.vectors import let, unit
+from .ranking import WEIGHTS, weighted_score
 
 
 def hashed_category(value: Column, dimensions: int) -> Column:
@@ -56,52 +58,86 @@ def influence(samples: int) -> float:
     return max([0.0, *(v for n, v in ((10, 0.05), (30, 0.1), (60, 0.15), (100, 0.2), (200, 0.3)) if samples >= n)])
 
 
-def personal_fit(features: Column, weights: np.ndarray, strength: float) -> Column:
+def raw_fit(features: Column, weights: np.ndarray) -> Column:
     w = F.array(*[F.lit(float(v)) for v in weights])
-    raw = F.aggregate(F.zip_with(features, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.tanh(raw) * strength * 3
+    return F.aggregate(F.zip_with(features, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def feature_hash_embedding(df: DataFrame, id: str, title: str, text: str, dimensions: int) -> DataFrame:
-    """id and the unit vector of hashed words (the title twice) and word pairs; all-zero where there are no words."""
-    import regex
+def personal_fit(features: Column, weights: np.ndarray, strength: float) -> Column:
+    return F.tanh(raw_fit(features, weights)) * strength * 3
 
-    schema = T.StructType([df.schema[id], T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
-        word = regex.compile(r"[\p{L}\p{N}]{2,}")
-        known: dict[str, tuple[int, float]] = {}
+def weighted_mean(df: DataFrame, key: str, vec: str, weight: str) -> DataFrame:
+    """key and `vec`: the mean of a key's vectors by weight, made a unit vector; sums by place combine before the shuffle."""
+    flat = df.filter(F.col(vec).isNotNull()).select(key, F.col(weight).cast("double").alias("_w"), F.posexplode(vec).alias("_i", "_x"))
+    means = flat.groupBy(key, "_i").agg((F.sum(F.col("_x").cast("double") * F.col("_w")) / F.sum("_w")).alias("_m"))
+    listed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_l"))  # as many as places
+    return listed.select(key, unit(F.transform("_l", lambda s: s["_m"])).alias("vec"))
 
-        def cell(token: str) -> tuple[int, float]:
-            if token not in known:
-                if len(known) > 1 << 18:
-                    known.clear()
-                h = fnv1a_int(token)
-                known[token] = (h % dimensions, -1.0 if h & 0x80000000 else 1.0)
-            return known[token]
 
-        for frame in batches:
-            out = []
-            for a, b in zip(frame["_a"], frame["_b"]):
-                words = word.findall(f"{a or ''} {a or ''} {b or ''}".lower())
-                single, double = np.zeros(dimensions), np.zeros(dimensions)
-                for i, w in enumerate(words):
-                    at, sign = cell(w)
-                    single[at] += sign
-                    if i:
-                        at, sign = cell(f"{words[i - 1]}_{w}")
-                        double[at] += sign
-                v = single + 0.6 * double
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).tolist())
-            yield pd.DataFrame({id: frame[id], "vec": out})
-
-    return df.select(id, F.col(title).alias("_a"), F.col(text).alias("_b")).mapInPandas(run, schema)
-
-
-def theme_of(title: Column, text: Column, themes: list[tuple[str, str]], default: str, first: int = 6000, more: int = 10000) -> tuple[Column, Column]:
-    """The first theme whose (lower-case) pattern is found in title and start of the text, and up to three further ones."""
-    head, body = F.lower(F.concat_ws(" ", title, F.substring(text, 1, first))), F.lower(F.substring(text, 1, more))
-    primary = F.coalesce(*[F.when(head.rlike(p), F.lit(name)) for name, p in themes], F.lit(default))
-    found = F.array(*[F.when(body.rlike(p), F.lit(name)) for name, p in themes])
-    return primary, F.slice(F.filter(found, lambda t: t.isNotNull() & (t != primary)), 1, 3)
+# Base, and what may be added, of the scores by rule.
+CONNECTIVES = r"(?i)\b(?:because|therefore|however|although|for example|the reason|but)\b"
+TOPICAL = "(?i)today|this week|breaking"
+OWN_VIEW = "(?i)I believe|I think|my view|the paradox|the problem"
+
+
+def rule_analysis(df: DataFrame, text: str) -> DataFrame:
+    """`df` (with title and word_count) with five scores by rule, their weighted sum and the name of the strongest."""
+    length = F.least(F.lit(1.0), F.log10(F.greatest(F.coalesce("word_count", F.lit(0)), F.lit(100)).cast("double")) / 4)
+    score = lambda base, extra: F.least(F.lit(9.2), F.floor((F.lit(base) + length + extra) * 10 + 0.5) / 10)
+    signals = F.regexp_count(text, F.lit(CONNECTIVES)).cast("double")
+    paragraphs = F.size(F.filter(F.split(text, "\n+"), lambda p: p != "")).cast("double")
+    scored = df.withColumns({
+        "long_term_value": score(6.8, F.when(F.coalesce("title", F.lit("")).rlike(TOPICAL), -0.4).otherwise(0.4)),
+        "idea_density": score(6.9, F.least(F.lit(0.8), signals / 50)),
+        "argument_quality": score(6.7, F.least(F.lit(0.9), signals / 40)),
+        "originality": score(6.8, F.when(F.col(text).rlike(OWN_VIEW), 0.5).otherwise(0.2)),
+        "clarity_structure": score(7.0, F.least(F.lit(0.7), paragraphs / 100)),
+    })
+    dims = F.array(*WEIGHTS)
+    strongest = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.array_position(dims, F.array_max(dims)).cast("int"))
+    return scored.withColumn("intrinsic_score", weighted_score()).withColumn("strongest", strongest)
+
+
+def feature_hash_embedding(df: DataFrame, id: str, title: str, text: str, dimensions: int) -> DataFrame:
+    """id and the unit vector of hashed words (the title twice) and word pairs; all-zero where there are no words.
+
+    Words and pairs are counted per text before they are hashed, so each distinct one is hashed once a text. Texts within
+    the basic plane stay in expressions of the JVM; the rest take a vectorised function for their tokens.
+    """
+    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
+    words = df.select(F.col(id), F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1)).alias("_w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.concat(F.get("_w", i - 1), F.lit("_"), F.get("_w", i)).alias("t"), F.lit(0.6).alias("k")))
+    tokens = F.concat(F.transform("_w", lambda w: F.struct(w.alias("t"), F.lit(1.0).alias("k"))), F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<struct<t:string,k:double>>")))
+    counted = words.select(id, F.explode(tokens).alias("_t")).groupBy(id, F.col("_t.t").alias("t"), F.col("_t.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    h = fnv1a_any(F.col("t"))
+    sums = counted.select(id, "k", "n", h.alias("h")).groupBy(id, (F.col("h") % dimensions).cast("int").alias("_p")).agg(F.sum(F.when(F.col("h").bitwiseAND(F.lit(0x80000000)) == 0, F.col("k")).otherwise(-F.col("k")) * F.col("n")).alias("_s"))
+    maps = sums.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_s"))).alias("_m"))  # at most `dimensions` entries
+    vec = unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))))
+    return df.select(id).distinct().join(maps, id, "left").select(id, F.coalesce(vec, F.array_repeat(F.lit(0.0), dimensions)).alias("vec"))
+
+
+def literals(pattern: str) -> tuple[list[str], list[str]]:
+    """The alternatives of a pattern: plain substrings, and those that need a pattern."""
+    parts = pattern.split("|")
+    return [p for p in parts if p.isalnum()], [p for p in parts if not p.isalnum()]
+
+
+def found_in(text: Column, pattern: str) -> Column:
+    plain, rest = literals(pattern)
+    tests = [F.contains(text, F.lit(p)) for p in plain] + [text.rlike(p) for p in rest]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def themes_of(title: Column, text: Column, themes: list[tuple[str, str]], default: str, first: int | None = None, more: int | None = None) -> Column:
+    """A struct of the first theme whose (lower-case) pattern is found in title and text, and up to three further ones
+    found in the text. `first` and `more` cut the text for either. Every pattern is sought once in a text lowered once."""
+    head = F.lower(F.concat_ws(" ", title, text if first is None else F.substring(text, 1, first)))
+    body = F.lower(F.coalesce(text if more is None else F.substring(text, 1, more), F.lit("")))
+    names = F.array(*[F.lit(n) for n, _ in themes])
+    hits = lambda x: F.array(*[found_in(x, p) for _, p in themes])
+    pick = lambda found: F.filter(names, lambda n, i: F.get(found, i))
+    return let(let(head, hits), lambda a: let(let(body, hits), lambda b: let(F.coalesce(F.get(pick(a), F.lit(0)), F.lit(default)), lambda p: F.struct(p.alias("primary"), F.slice(F.filter(pick(b), lambda n: n != p), 1, 3).alias("more")))))

@@ -25,19 +25,30 @@ AS_OF = "2025-08-22 22:00:00"  # 06:00 of the next civil day
 DAY = "2025-08-23"
 _EPOCH = int(dt.datetime.fromisoformat(AS_OF + "+00:00").timestamp() * 1_000_000)
 SCORES = ["intrinsic_score", "long_term_value", "idea_density", "argument_quality", "originality", "clarity_structure"]
-# Ordered theme patterns.
+# Ordered themes and their patterns.
 THEMES = [
-    ("risk", "risk|uncertain|probab|fragil|volatil"),
-    ("work", "work|create|writing|maker|craft|career"),
-    ("startup", "startup|founder|business|company|entrepreneur"),
-    ("investing", "invest|capital|market|portfolio|return"),
-    ("technology", "technology|software|internet|industry|platform"),
-    ("economy", "econom|institution|policy|trade|regulat"),
-    ("decision", "decision|judgment|choice|strategy|think"),
-    ("life", "life|long.term|compound|future|ambition"),
+    ("风险与不确定性", "risk|uncertain|probab|fragil|volatil"),
+    ("工作与创造", "work|create|writing|maker|craft|career"),
+    ("创业与商业", "startup|founder|business|company|entrepreneur"),
+    ("投资与资本配置", "invest|capital|market|portfolio|return"),
+    ("科技与产业", "technology|software|internet|industry|platform"),
+    ("经济与制度", "econom|institution|policy|trade|regulat"),
+    ("决策与判断", "decision|judgment|choice|strategy|think"),
+    ("人生与长期主义", "life|long.term|compound|future|ambition"),
 ]
+QUERIES_AT_ONCE = 16_384
+OTHER_THEME = "学习与知识"
 # Titles and words of pieces that don't stand alone.
-GATE_TITLES = r"\bassorted links\b|\b(?:mon|tues|wednes|thurs|fri|satur|sun)day links\b|\bpodcast\b|\bwebinar\b|^open thread\b|\bmeetups? everywhere\b"
+GATE_TITLE_PATTERNS = [
+    r"\bassorted links\b",
+    r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday) links\b",
+    r"\bpodcast\b",
+    r"\bwebinar\b",
+    r"^open thread\b",
+    r"\bmeetups? everywhere\b",
+]
+GATE_TITLES = "|".join(GATE_TITLE_PATTERNS)
+GATE_MEDIA_URL = r"(?i)knowledge-project-podcast|/podcast/"
 GATE_MEDIA = "listen|watch|youtube|spotify"
 
 
@@ -51,6 +62,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def hexed_sql(c: str, place: int) -> str:
+    """A hexadecimal digit of an id as a number, in SQL."""
+    return f"cast('0x' || substr({c}, {place}, 1) as int)"
+
+
 def now() -> Column:
     return F.timestamp_micros(F.lit(_EPOCH).cast("long"))
 
@@ -106,11 +122,6 @@ def gated(arts: DataFrame) -> DataFrame:
     return arts.filter((F.col("intrinsic") >= 7.5) & (F.col("long_term_value") >= 7) & (F.col("idea_density") >= 7) & (F.least(*dims) >= 5) & F.forall(F.array(*dims), lambda x: x.isNotNull()))
 
 
-def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    arts = articles(spark, d)
-    return ranking.ranked(gated(arts).select("id", "author", "theme", "published_at", "intrinsic"), history(arts), now()), arts
-
-
 # ---- gates and ranking ---------------------------------------------------------------------------------------------
 
 @query("with " + ART + """
@@ -142,34 +153,12 @@ def q04_theme_fatigue(spark, d):
     return ranking.theme_fatigue(history(articles(spark, d)), now())
 
 
-@query("with " + RANKED + "select id, author, theme, intrinsic, fresh, author_penalty, theme_penalty, exploration, dynamic from ranked")
-def q05_rank_candidates(spark, d):
-    return candidates(spark, d)[0].select("id", "author", "theme", "intrinsic", "fresh", "author_penalty", "theme_penalty", "exploration", "dynamic")
-
-
 @query("with " + ART + f"""
 select id, floor((list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('{DAY}:' || id, ''), lambda c: ord(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) / 4294967295.0 * 2 * 0.3 - 0.3) * 1000 + 0.5) / 1000 as jitter from art""")
 def q06_daily_jitter(spark, d):
     return articles(spark, d).select("id", hashing.jitter(F.concat(F.lit(f"{DAY}:"), "id")).alias("jitter"))
 
 
-@query("with recursive " + RANKED + """,
-numbered as (select *, row_number() over (order by dynamic desc, intrinsic desc, id) rn from ranked where author_penalty < 100),
-g as (
-  select 0::bigint i, []::varchar[] ids, []::varchar[] authors, []::varchar[] themes
-  union all
-  select g.i + 1,
-    case when len(g.ids) < 10 and len(list_filter(g.authors, lambda x: x = r.author)) < 2 and len(list_filter(g.themes, lambda x: x = r.theme)) < 3 then list_append(g.ids, r.id) else g.ids end,
-    case when len(g.ids) < 10 and len(list_filter(g.authors, lambda x: x = r.author)) < 2 and len(list_filter(g.themes, lambda x: x = r.theme)) < 3 then list_append(g.authors, r.author) else g.authors end,
-    case when len(g.ids) < 10 and len(list_filter(g.authors, lambda x: x = r.author)) < 2 and len(list_filter(g.themes, lambda x: x = r.theme)) < 3 then list_append(g.themes, r.theme) else g.themes end
-  from g join numbered r on r.rn = g.i + 1 where len(g.ids) < 10),
-fin as (select ids from g order by i desc limit 1)
-select cast(list_position(ids, n.id) as int) as place, n.id, n.author, n.theme, n.dynamic, n.intrinsic from fin join numbered n on list_contains(ids, n.id)""")
-def q07_diverse_slate(spark, d):
-    ranked = candidates(spark, d)[0].filter("author_penalty < 100")
-    return ranking.diverse_top(ranked)
-
-
 _RECENT = """usable as (select article_id, arg_max(list_transform(vec_values, lambda x: x::double), created_at) v from article_embeddings where embedding_version = 'emb-v2' and len(vec_values) = 384
   and len(list_filter(vec_values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec_values, lambda x: x <> 0)) > 0 group by article_id),
 recent as (select v from (select u.v, a.pub, a.id from usable u join art a on a.id = u.article_id where a.pub is not null order by a.pub desc, a.id limit 7))"""
@@ -227,43 +216,6 @@ def q10_feature_hash_embedding(spark, d):
 _FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({0}, ''), lambda c: ord(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
-def featured(spark: SparkSession, d: str) -> DataFrame:
-    arts = articles(spark, d).filter(F.forall(F.array(*SCORES), lambda x: x.isNotNull()) & F.col("word_count").isNotNull())
-    projected = usable_vectors(spark, d).select("id", vectors.projected(F.col("vec"), 384).alias("projection"))
-    return arts.join(projected, "id").withColumn("x", learning.article_features(F.col("projection"), SCORES))
-
-
-@query("with " + ART + f""",
-heads as (select id, [1.0, intrinsic / 10, long_term_value / 10, idea_density / 10, argument_quality / 10, originality / 10, clarity_structure / 10, least(1.5, ln(1 + word_count::double) / 10)] x,
-  {_FNV.format("lower(who)")} ah, {_FNV.format("lower(theme)")} th from art
-  where intrinsic is not null and long_term_value is not null and idea_density is not null and argument_quality is not null and originality is not null and clarity_structure is not null and word_count is not null
-    and id in (select article_id from article_embeddings where embedding_version = 'emb-v2' and len(vec_values) = 384 and len(list_filter(vec_values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec_values, lambda x: x <> 0)) > 0)),
-alls as (select id, list_concat(x, list_transform(range(6), lambda i: case when ah % 6 = i then case when ah < 2147483648 then 1.0 else -1.0 end else 0.0 end), list_transform(range(6), lambda i: case when th % 6 = i then case when th < 2147483648 then 1.0 else -1.0 end else 0.0 end)) v from heads),
-flat as (select id, unnest(v) v, unnest(range(20)) i from alls)
-select id, cast(case when i >= 8 then i + 64 else i end as int) as place, floor(v * 1000000 + 0.5) / 1000000 as value from flat""")
-def q11_article_features(spark, d):
-    """Features beside the projection, which q09 covers."""
-    out = featured(spark, d).select("id", F.posexplode("x").alias("place", "v")).filter("place < 8 or place >= 72")
-    return out.select("id", "place", r6(F.col("v")).alias("value"))
-
-
-@query()
-def q12_ridge_weights(spark, d):
-    """Weights that predict the long-term value from the other features."""
-    rows = featured(spark, d).withColumn("y", F.col("long_term_value") - 7)
-    width = 8 + 64 + 12
-    xx, xy, n = learning.gram(rows, "x", "y", width)
-    weights = learning.ridge(xx, xy)
-    return spark.createDataFrame([(i, float(w), n, learning.influence(n)) for i, w in enumerate(weights)], "place int, weight double, samples int, influence double")
-
-
-@query()
-def q13_personal_fit(spark, d):
-    rows = featured(spark, d).withColumn("y", F.col("long_term_value") - 7)
-    xx, xy, n = learning.gram(rows, "x", "y", 84)
-    return rows.select("id", r6(learning.personal_fit(F.col("x"), learning.ridge(xx, xy), learning.influence(n))).alias("personal_fit"))
-
-
 # ---- relational reading path ---------------------------------------------------------------------------------------
 
 def _archive(spark: SparkSession, d: str) -> DataFrame:
@@ -307,22 +259,6 @@ def q18_visible_as_of(spark, d):
     return articles(spark, d).filter(dates.visible(F.col("published_at"), now())).select("id", micros("published_at").alias("published_us"))
 
 
-@query("with " + RANKED + """
-select c.id, c.intrinsic from cand c where c.id not in (select id from hist) and not exists (
-  select 1 from discovered_articles x where x.article_id = c.id and x.extraction_confidence < 0.7)""")
-def q19_ready_pool(spark, d):
-    """Gated articles not read before nor poorly extracted: two anti joins."""
-    arts = articles(spark, d)
-    poor = read(spark, d, "discovered_articles").filter("extraction_confidence < 0.7").select(F.col("article_id").alias("id"))
-    return gated(arts).join(history(arts).select("id"), "id", "left_anti").join(poor, "id", "left_anti").select("id", "intrinsic")
-
-
-@query("with " + ART + """select a.id, a.intrinsic from art a where not exists (select 1 from article_embeddings e where e.article_id = a.id and e.embedding_version = 'emb-v2' and e.vec_values is not null)""")
-def q20_missing_embeddings(spark, d):
-    have = read(spark, d, "article_embeddings").filter("embedding_version = 'emb-v2' and vec_values is not null").select(F.col("article_id").alias("id")).distinct()
-    return articles(spark, d).join(have, "id", "left_anti").select("id", "intrinsic")
-
-
 _SOURCES = ART + """,
 ready as (select source_id, count(*) filter (where coalesce(intrinsic >= 7.5, false)) good, count(*) filter (where not coalesce(intrinsic >= 7.5, false)) poor from art group by 1),
 todo as (select source_id, count(distinct article_id) pending from discovered_articles d where not exists (select 1 from latest l where l.id = d.article_id) group by 1),
@@ -478,15 +414,6 @@ def q34_upsert_snapshot(spark, d):
     return out.select("article_id", "title", F.coalesce(micros("published_at"), F.lit(-1)).alias("published_us"), "confidence")
 
 
-@query("""
-with e as (select event_id, cast(ts as date) as d, ts from events where event_type = 'purchase'), f as (select d, min((epoch_us(ts), event_id)) b from e group by d)
-select event_id, cast(e.d as varchar) as day, (epoch_us(ts), event_id) = b as won from e join f using (d)""")
-def q35_slot_winners(spark, d):
-    """The first purchase of each day wins it."""
-    rows = read(spark, d, "events").filter("event_type = 'purchase'").withColumn("day", F.to_date("ts").cast("string"))
-    return rel.winners(rows, "day", [F.col("ts"), F.col("event_id")]).select("event_id", "day", "won")
-
-
 @query("""
 with e as (select user_id, event_id, epoch_us(ts) u, event_type from events),
 n as (select *, coalesce(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by u, event_id rows between unbounded preceding and 1 preceding), 0) ep from e)
@@ -513,16 +440,16 @@ def q38_expiry_queue(spark, d):
 
 @query(rf"""
 with t as (select article_id, arg_max(struct_pack(title := title, text := text, url := canonical_url, words := word_count, links := external_link_count), extracted_at) r from extracted_articles group by 1)
-select article_id, case when regexp_matches(lower(r.title), '{GATE_TITLES}') then 'not_standalone' when trim(replace(coalesce(r.text, ''), chr(10), ' ')) = '' then 'empty' when regexp_matches(r.url, '(?i)/podcast/') then 'media'
-  when r.words < 80 and r.links >= 2 then 'links' when r.words < 50 and regexp_matches(lower(r.text), '{GATE_MEDIA}') then 'media' end as reason from t""")
+select article_id, case when regexp_matches(lower(r.title), '{GATE_TITLES}') then 'non_standalone_format' when trim(replace(coalesce(r.text, ''), chr(10), ' ')) = '' then 'empty_body' when regexp_matches(r.url, '{GATE_MEDIA_URL}') then 'media_first'
+  when r.words < 80 and r.links >= 2 then 'link_roundup' when r.words < 50 and regexp_matches(lower(r.text), '{GATE_MEDIA}') then 'media_first' end as reason from t""")
 def q39_content_gate(spark, d):
     """The first reason for which a text doesn't stand alone; null where it does."""
     cols = read(spark, d, "extracted_articles").select("article_id", "extracted_at", "title", "text", "canonical_url", "word_count", "external_link_count")
     rows = rel.latest(cols, "article_id", [F.col("extracted_at")])
     blank = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))) == ""
     reason = (
-        F.when(F.lower("title").rlike(GATE_TITLES), "not_standalone").when(blank, "empty").when(F.col("canonical_url").rlike("(?i)/podcast/"), "media")
-        .when((F.col("word_count") < 80) & (F.col("external_link_count") >= 2), "links").when((F.col("word_count") < 50) & F.lower("text").rlike(GATE_MEDIA), "media")
+        F.when(F.lower("title").rlike(GATE_TITLES), "non_standalone_format").when(blank, "empty_body").when(F.col("canonical_url").rlike(GATE_MEDIA_URL), "media_first")
+        .when((F.col("word_count") < 80) & (F.col("external_link_count") >= 2), "link_roundup").when((F.col("word_count") < 50) & F.lower("text").rlike(GATE_MEDIA), "media_first")
     )
     return rows.select("article_id", reason.alias("reason"))
 
@@ -557,15 +484,16 @@ def q42_page_links(spark, d):
     return feeds.page_links(pages, "inline_html", "canonical_url", "article_id")
 
 
-_HEAD = "coalesce(title || ' ', '') || coalesce(substring(text, 1, 6000), '')"
+_THEME_SQL = "[" + ", ".join(f"case when regexp_matches({{0}}, '{p}') then '{n}' end" for n, p in THEMES) + "]"
 
 
-@query("with t as (select doc_id, lower(" + _HEAD + ") head, lower(coalesce(substring(text, 1, 10000), '')) body from documents) select doc_id, p as primary_theme, array_to_string(list_filter(f, lambda x: x is not null and x <> p)[1:3], ',') as more from (select doc_id, case "
-       + " ".join(f"when regexp_matches(head, '{p}') then '{n}'" for n, p in THEMES) + " else 'learning' end p, ["
-       + ", ".join(f"case when regexp_matches(body, '{p}') then '{n}' end" for n, p in THEMES) + "] f from t)")
+@query("with t as (select doc_id, lower(coalesce(title || ' ', '') || coalesce(text, '')) head, lower(coalesce(text, '')) body from documents), "
+       + "f as (select doc_id, coalesce(list_filter(" + _THEME_SQL.format("head") + f", lambda x: x is not null)[1], '{OTHER_THEME}') p, " + _THEME_SQL.format("body")
+       + " b from t) select doc_id, p as primary_theme, array_to_string(list_filter(b, lambda x: x is not null and x <> p)[1:3], ',') as more from f")
 def q43_theme_classifier(spark, d):
-    primary, more = learning.theme_of(F.col("title"), F.col("text"), THEMES, "learning")
-    return read(spark, d, "documents").select("doc_id", primary.alias("primary_theme"), F.array_join(more, ",").alias("more"))
+    """The first theme whose words stand in title or text, and up to three further ones, of whole texts."""
+    t = learning.themes_of(F.col("title"), F.col("text"), THEMES, OTHER_THEME)
+    return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.col("t.primary").alias("primary_theme"), F.array_join("t.more", ",").alias("more"))
 
 
 @query()
@@ -578,19 +506,13 @@ def q44_chunks(spark, d):
 with m as (select distinct on (message_id) message_id, source_id, subject, author, published_at p, text_body, html_body, canonical_url, from_address from email_payloads where message_id is not null order by message_id, received_at desc)
 select message_id, trim(coalesce(subject, '')) = '' as no_subject, case when trim(coalesce(source_id, '')) = '' then 'missing_source' when trim(message_id) = '' then 'missing_message_id' when trim(coalesce(subject, '')) = '' then 'missing_subject'
   when trim(coalesce(text_body, '')) = '' and trim(coalesce(html_body, '')) = '' then 'missing_body' end as error,
+  coalesce(trim(source_id), '') as source_id, case when trim(coalesce(author, '')) = '' then coalesce(source_id, '') else regexp_replace(replace(trim(author), chr(160), ' '), '[ \t]+', ' ', 'g') end as author, length(coalesce(text_body, '')) as text_chars,
   coalesce(epoch_us(coalesce(try_strptime(trim(p), '%Y-%m-%dT%H:%M:%SZ'), try_strptime(trim(p), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(p), '%Y-%m-%d'), try_strptime(trim(p), '%d/%m/%Y'))), -1) as published_us from m""")
 def q45_payload_parse(spark, d):
     mail = rel.latest(read(spark, d, "email_payloads"), "message_id", [F.col("received_at")])
-    return feeds.parsed_mail(mail).select("message_id", (F.coalesce("title", F.lit("")) == "").alias("no_subject"), "error", F.coalesce(micros("published_at"), F.lit(-1)).alias("published_us"))
-
-
-@query("""select source_id, count(*) as posts, array_to_string(list_sort(list(url))[1:3], ' ') as first_posts from (select distinct source_id, 'https://' || source_id || '.example/p/' || article_id url from discovered_articles) group by 1""")
-def q46_sitemap_round_trip(spark, d):
-    """Posts written to a sitemap per source and read back."""
-    posts = read(spark, d, "discovered_articles").select("source_id", F.concat(F.lit("https://"), "source_id", F.lit(".example/p/"), "article_id").alias("url")).distinct()
-    maps = posts.groupBy("source_id").agg(feeds.sitemap(F.array_sort(F.collect_list("url"))).alias("xml"))
-    out = maps.select("source_id", F.filter(F.array_distinct(F.transform(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>(.*?)</loc>"), F.lit(1)), lambda u: tx.decoded(u))), lambda u: u.startswith("https://")).alias("u"))
-    return out.select("source_id", F.size("u").cast("long").alias("posts"), F.array_join(F.slice("u", 1, 3), " ").alias("first_posts"))
+    chars = mail.select(F.col("message_id").alias("_m"), F.coalesce(F.length("text_body"), F.lit(0)).cast("long").alias("text_chars"))
+    parsed = feeds.parsed_mail(mail)
+    return parsed.join(chars, parsed["message_id"] == chars["_m"]).select("message_id", (F.coalesce("title", F.lit("")) == "").alias("no_subject"), "error", F.coalesce(F.trim("source_id"), F.lit("")).alias("source_id"), F.coalesce("author", F.lit("")).alias("author"), F.col("text_chars"), F.coalesce(micros("published_at"), F.lit(-1)).alias("published_us"))
 
 
 @query("""select id, array_to_string(case when history_pages <= 5 then range(1, history_pages + 1) else list_prepend(1, range(history_pages - 3, history_pages + 1)) end, ',') as pages, cast(least(history_pages + 2, 100) as int) as next_pages from sources""")
@@ -665,14 +587,21 @@ def x04_exact_neighbours(spark, d):
     import pandas as pd
 
     rows = read(spark, d, "embeddings")
-    asked = rows.filter("vec_id % 100 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
-    ids = np.array([r["vec_id"] for r in asked])
-    q = np.array([r["embedding"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
-    shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-    def block(frames):
+    wanted = rows.filter("vec_id % 100 = 0").select("vec_id", "embedding")
+    blocks = -(-wanted.count() // QUERIES_AT_ONCE)
+
+    def near(number: int) -> DataFrame:
+        asked = wanted.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).orderBy("vec_id").collect()  # about QUERIES_AT_ONCE rows
+        ids = np.array([r["vec_id"] for r in asked])
+        q = np.array([r["embedding"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
+        shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        return rows.select("vec_id", "embedding").mapInPandas(lambda frames: block(frames, shared), "vec_id long, neighbour_id long, cosine double").filter("cosine > -2")
+
+    def block(frames, shared):
+        queries, units = shared.value
+        if not len(queries):
+            return
         for f in frames:
-            queries, units = shared.value
             x = np.array(f["embedding"].tolist(), dtype=np.float64)
             c = np.floor(units @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T * 1e6 + 0.5) / 1e6
             c[queries[:, None] == f["vec_id"].to_numpy()[None, :]] = -2
@@ -680,6 +609,8 @@ def x04_exact_neighbours(spark, d):
             best = np.lexsort((np.broadcast_to(f["vec_id"].to_numpy(), c.shape), -c), axis=1)[:, :k]
             yield pd.DataFrame({"vec_id": np.repeat(queries, k), "neighbour_id": f["vec_id"].to_numpy()[best.ravel()], "cosine": np.take_along_axis(c, best, 1).ravel()})
 
-    near = rows.select("vec_id", "embedding").mapInPandas(block, "vec_id long, neighbour_id long, cosine double").filter("cosine > -2")
+    found = near(0)
+    for number in range(1, blocks):
+        found = found.unionByName(near(number))
     w = W.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "neighbour_id")
-    return near.withColumn("k", F.row_number().over(w)).filter("k <= 5").drop("k")
+    return found.withColumn("k", F.row_number().over(w)).filter("k <= 5").drop("k")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -40,7 +42,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tidemill-ship-")) / "tidemill.zip"
+    folder = tempfile.mkdtemp(prefix="tidemill-ship-")  # of the driver; Spark sends the file on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "tidemill.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))

@@ -35,11 +35,25 @@ def first_seen(items: DataFrame, link: str = "link", page: str = "page") -> Data
     return items.groupBy(link).agg(F.min_by(F.struct(*items.columns), F.col(page)).alias("_r")).select("_r.*")
 
 
-def sitemap_links(xml: Column, origin: str) -> Column:
+def item(title: Column, link: Column, author: Column, body: Column, category: Column) -> Column:
+    """An item of a feed."""
+    parts = [F.concat(F.lit(f"<{n}>"), escaped(F.coalesce(c, F.lit(""))), F.lit(f"</{n}>")) for n, c in (("title", title), ("link", link), ("author", author), ("description", body), ("category", category))]
+    return F.concat(F.lit("<item>"), *parts, F.lit("</item>"))
+
+
+def items(channel: Column) -> Column:
+    """The items of a feed's channel element: title, link, author, body and categories; an empty array for broken markup."""
+    kind = "item array<struct<title: string, link: string, author: string, description: string, category: array<string>>>"
+    found = F.from_xml(channel, kind)["item"]
+    read = F.transform(found, lambda i: F.struct(F.trim(i["title"]).alias("title"), i["link"].alias("link"), F.trim(i["author"]).alias("author"), i["description"].alias("body"), F.coalesce(i["category"], F.array().cast("array<string>")).alias("categories")))
+    return F.coalesce(read, F.array().cast("array<struct<title:string,link:string,author:string,body:string,categories:array<string>>>"))
+
+
+def sitemap_links(xml: Column, origin: str | Column) -> Column:
     """Post addresses of one origin in a sitemap, without fragments, in order and once each."""
     found = F.regexp_extract_all(xml, F.lit(r"(?is)<loc>(.*?)</loc>"), F.lit(1))
     clean = F.transform(found, lambda u: F.regexp_replace(F.trim(decoded(u)), "#.*$", ""))
-    return F.array_distinct(F.filter(clean, lambda u: u.startswith(f"{origin}/p/")))
+    return F.array_distinct(F.filter(clean, lambda u: u.startswith(F.concat(F.lit(origin) if isinstance(origin, str) else origin, F.lit("/p/")))))
 
 
 def sitemap(urls: Column) -> Column:

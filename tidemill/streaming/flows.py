@@ -17,6 +17,14 @@ def read_events(spark: SparkSession, folder: str, schema: StructType, at: str =
     return spark.readStream.schema(schema).parquet(folder).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
 
 
+def pushed_articles(spark: SparkSession, folder: str, schema: StructType, delay: str = "2 days") -> DataFrame:
+    """Mail pushed as JSON files, parsed as it comes, each message once."""
+    from ..sources.feeds import parsed_mail
+
+    raw = spark.readStream.schema(schema).json(folder).withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", delay)
+    return parsed_mail(raw.filter("message_id is not null").dropDuplicatesWithinWatermark(["message_id"])).filter("error is null")
+
+
 def windowed_rates(events: DataFrame, at: str, bad, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window(at, length, slide)).agg(F.count(F.lit(1)).alias("rows"), F.sum(bad.cast("int")).alias("bad"))
 
@@ -58,15 +66,26 @@ def closed_episodes(events: DataFrame, key: str, at: str, kind: str, opens: str,
     return chosen.groupBy("key").applyInPandasWithState(step, EPISODE, EPISODE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def snapshot_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The newest snapshot before a batch; batches that wrote none are passed over."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    older = [int(n) for n in names if n.isdigit() and int(n) < number and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(older)}") if older else None
+
+
 def upsert_into(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: the next snapshot beside the last, named by the batch, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = latest(batch, key, [F.col(order)])
-        before = f"{path}/{number - 1}"
-        if number > 0:
-            rows = upserted(spark.read.parquet(before), rows, key)
+        before = snapshot_before(batch.sparkSession, path, number)
+        if before is not None:
+            rows = upserted(before, rows, key)
         rows.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return write
@@ -77,8 +96,9 @@ def insert_into(path: str, key: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates([key])
-        if number > 0:
-            rows = inserted(batch.sparkSession.read.parquet(f"{path}/{number - 1}"), rows, key)
+        before = snapshot_before(batch.sparkSession, path, number)
+        if before is not None:
+            rows = inserted(before, rows, key)
         rows.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return write

@@ -14,9 +14,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where none is set (tests, a single machine)."""
+    """The folder of `spark.checkpoint.dir`; one of our own only where none is set and all runs in one process.
+
+    On a cluster without the setting this raises: a folder of one machine would hold parts of each table.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -55,9 +61,21 @@ class Scratch:
             _remove(self.spark, path)
 
 
-def size_checked(df: DataFrame, most_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most_rows` rows, else as it is (Spark then joins by shuffling)."""
-    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).collect()) <= most_rows else df
+MOST_BYTES = 64 << 20
+
+
+def is_small(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether `df` has at most so many rows and bytes; the bytes are those of its rows written as JSON."""
+    got = df.limit(most_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return got["n"] <= most_rows and (got["b"] or 0) <= most_bytes
+
+
+def size_checked(df: DataFrame, most_rows: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it is small, else as it is (Spark then joins by shuffling).
+
+    The check runs the plan of `df` once more, so what is dear is cut before.
+    """
+    return F.broadcast(df) if is_small(df, most_rows, most_bytes) else df
 
 
 def latest_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -69,3 +87,23 @@ def latest_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     rest = [F.col(f"`{c}`") for c, t in df.dtypes if c != key and "map<" not in t and "variant" not in t]
     best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order, *rest))
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_r")).select("_r.*")
+
+
+MOST_REPEATED = 2_000_000
+
+
+def latest_of_wide(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """`latest_rows` for rows with long texts: those whose key stands once are not shuffled.
+
+    The keys that stand more than once are found on the key alone. While they are small enough to be broadcast only their
+    rows are aggregated; beyond that all are, with the same result. Further ties go by a hash of the row.
+    """
+    rows = df.filter(F.col(key).isNotNull())
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if c != key and "map<" not in t and "variant" not in t]
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order, F.xxhash64(*rest)))
+    newest = lambda some: some.groupBy(key).agg(best.alias("_r")).select("_r.*")
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    if not is_small(again, MOST_REPEATED):
+        return newest(rows)
+    again = F.broadcast(again)
+    return rows.join(again, key, "left_anti").select(*df.columns).unionByName(newest(rows.join(again, key, "left_semi")))
