@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -25,16 +26,37 @@ def test_places_are_exact_with_a_hot_contributor(spark):
 
 def test_reservoir_prefers_the_better_ones_and_is_reproducible(spark):
     data = [("a", f"{i:04d}", 9.0 if i % 2 else 1.0, 0, 0, 0) for i in range(600)]
-    first, second = (ranked(spark, data, power=2.0, seed=4) for _ in range(2))
-    assert first == second and first != ranked(spark, data, power=2.0, seed=5)
+    first, second = (ranked(spark, data, sharpness=0.55, seed=4) for _ in range(2))
+    assert first == second and first != ranked(spark, data, sharpness=0.55, seed=5)
     top = [k for k, place in first.items() if place <= 100]
     share = sum(int(i) % 2 for _, i in top) / 100
     assert 0.9 < share <= 1.0  # the weights are 81 to 1
-    even = ranked(spark, [(a, b, 3.0, 0, 0, 0) for a, b, *_ in data], power=2.0)
+    even = ranked(spark, [(a, b, 3.0, 0, 0, 0) for a, b, *_ in data], sharpness=2.0)
     share = sum(int(k[1]) % 2 for k, place in even.items() if place <= 200) / 200
     assert 0.35 < share < 0.65
 
 
+def test_the_separating_sharpness_leaves_nothing_to_the_draw(spark):
+    """The keys of the draw itself order as the scores do, whatever is drawn; scores of any sign and closeness."""
+    rng = random.Random(3)
+    scores = [round(rng.uniform(-5, 10), 2) for _ in range(400)] + [3.0, 3.0 + 1e-9, float("nan"), None]
+    df = spark.createDataFrame([("a", f"{i:04d}", s) for i, s in enumerate(scores)], "contributor string, id string, score double")
+    sharp = c.separating_sharpness(df, "score", Scratch(spark, "t"))
+    assert sharp is not None and sharp >= c.SPREAD / 1e-9 * 0.99
+    for seed in (1, 2):
+        keyed = df.select("score", c.reservoir_key(F.col("score"), F.col("id"), sharp, seed).alias("key")).filter("key is not null").collect()
+        by_key, by_score = sorted(keyed, key=lambda r: r["key"]), sorted(keyed, key=lambda r: r["score"])
+        assert [r["score"] for r in by_key] == [r["score"] for r in by_score]
+    lows, highs = (-math.log(-math.log((x + 0.5) / (1 << 52))) for x in (0, (1 << 52) - 1))
+    assert highs - lows < c.SPREAD - 1
+
+
+def test_scores_closer_than_doubles_tell(spark):
+    data = [("a", f"{i}", 7.0 + i * 2.0**-50, 0, 0, 0) for i in range(9)] + [("a", "x", -1e300, 0, 0, 0), ("a", "y", float("inf"), 0, 0, 0)]
+    got = ranked(spark, data)
+    assert [k[1] for k, _ in sorted(got.items(), key=lambda kv: kv[1])] == ["y", *[f"{i}" for i in range(8, -1, -1)], "x"]
+
+
 def test_cap_and_empty(spark):
     df = spark.createDataFrame([("a", str(i), float(i)) for i in range(100)], "contributor string, id string, score double")
     kept = c.cap(df, Scratch(spark, "t"), share=0.05).filter("kept")

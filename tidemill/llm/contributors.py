@@ -1,17 +1,20 @@
 """Capping records per dominant contributor.
 
-Quality-weighted reservoir sampling without replacement: each record gets the key score^power / E with E exponential,
-drawn from a hash of its id, and each contributor keeps the cap-size largest keys. In logarithms the key is
-power * ln(score) - ln(E); as the power grows the draw counts less and less, and in the limit (`power=None`) the keys
-order as the scores themselves, so the best-scored records stay, equal ones by smaller id.
+Quality-weighted reservoir sampling without replacement: a record of score s has the weight exp(sharpness * s) and gets
+the key weight / E with E exponential, drawn from a hash; each contributor keeps the cap-size largest keys. In logarithms
+the key is sharpness * s - ln(E), so any finite score has a weight. As the sharpness grows the draw counts less, and
+there is a sharpness from which on it can't change the order of different scores: the draws of 52 bits lie within
+SPREAD of each other, so it is SPREAD over the least gap between scores, which is measured on all scores
+(`separating_sharpness`). With it, and draws shared by records of equal score (`shared`), the best-scored stay and equal
+ones go by smaller id. Where scores lie closer than doubles can tell after that scaling, the score itself comes first.
 
 Ranks are taken without one task per contributor: records are range-partitioned by contributor and key, counted per
 partition, and ranked as offset of the partition plus place inside it. A contributor with a third of all rows is spread
 over a third of the partitions.
 
-Defined cases: null, NaN and (with a power) non-positive scores have no weight and come last, by smaller id; ties go to
-the smaller id; null contributors form one contributor named ''; rows without id are dropped; extra columns are ignored;
-an empty table gives an empty result.
+Defined cases: null and NaN scores have no weight and come last, by smaller id; ties go to the smaller id; null
+contributors form one contributor named ''; rows without id are dropped; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -107,20 +110,56 @@ def with_contributor(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("id", contributor_name("author", "_scope", "source_id").alias("contributor"), "intrinsic_score")
 
 
-def reservoir_key(score: Column, id: Column, power: float | None, seed: int) -> Column:
-    usable = score.isNotNull() & ~F.isnan(score)
-    if power is None:
-        return F.when(usable, score)
-    uniform = (F.xxhash64(id, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / F.lit(float(1 << 53))
-    return F.when(usable & (score > 0), power * F.log(score) - F.log(-F.log(uniform)))
+SPREAD = 42.0  # more than the logarithms of two exponential draws of 52 bits can differ by
+LEAST_TOLD = 1e-13  # gaps of scores, in parts of the greatest, that scaled doubles still tell
 
 
-def ranked(records: DataFrame, scratch: Scratch, contributor: str = "contributor", id: str = "id", score: str = "score", power: float | None = None, seed: int = 11) -> DataFrame:
-    """contributor, id, score, key and `place` (long, from 1: the largest key of its contributor)."""
+def draw(seed: int, of: Column) -> Column:
+    """-ln(E) of an exponential draw from the first 52 bits of a hash."""
+    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), of)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
+def usable(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score)
+
+
+def reservoir_key(score: Column, id: Column, sharpness: float, seed: int, shared: bool = False) -> Column:
+    """The logarithm of weight over draw; null without a weight. `shared` draws are those of the score, not the id."""
+    return F.when(usable(score), F.lit(sharpness) * score + draw(seed, score.cast("string") if shared else id))
+
+
+def separating_sharpness(records: DataFrame, score: str, scratch: Scratch) -> float | None:
+    """The sharpness from which on different scores can't change places; None where doubles can't tell them so.
+
+    Distinct scores are sorted over range partitions; neighbours are compared inside them and across their ends.
+    """
+    finite = records.select(F.col(score).cast("double").alias("s")).filter(usable(F.col("s")) & (F.abs("s") < float("inf")))
+    placed = scratch.cut(finite.distinct().repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    inside = placed.withColumn("gap", F.col("s") - F.lag("s").over(W.partitionBy("part").orderBy("s"))).agg(F.min("gap").alias("gap"))
+    ends = placed.groupBy("part").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.max(F.abs("s")).alias("size"))
+    across = ends.withColumn("gap", F.col("low") - F.lag("high").over(W.partitionBy(F.lit(0)).orderBy("part")))  # one row a partition
+    whole = across.agg(F.min("gap").alias("between"), F.max("size").alias("size")).crossJoin(inside).first()  # one row each
+    gaps = [g for g in (whole["between"], whole["gap"]) if g is not None]
+    if not gaps:
+        return 1.0
+    return SPREAD / min(gaps) if min(gaps) > LEAST_TOLD * whole["size"] else None
+
+
+def ranked(records: DataFrame, scratch: Scratch, contributor: str = "contributor", id: str = "id", score: str = "score", sharpness: float | None = None, seed: int = 11) -> DataFrame:
+    """contributor, id, score, key and `place` (long, from 1: the largest key of its contributor).
+
+    Without a `sharpness` it is the separating one, with shared draws.
+    """
     spark = records.sparkSession
-    rows = records.filter(F.col(id).isNotNull()).select(F.coalesce(F.col(contributor), F.lit("")).alias("contributor"), F.col(id).alias("id"), F.col(score).alias("score"), reservoir_key(F.col(score), F.col(id), power, seed).alias("key"))
+    shared = sharpness is None
+    if shared:
+        sharpness = separating_sharpness(records, score, scratch)
+    rows = records.filter(F.col(id).isNotNull()).select(F.coalesce(F.col(contributor), F.lit("")).alias("contributor"), F.col(id).alias("id"), F.col(score).cast("double").alias("score"))
+    rows = rows.withColumn("key", reservoir_key(F.col("score"), F.col("id"), 1.0 if sharpness is None else sharpness, seed, shared))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("key").desc_nulls_last(), F.col("id").asc()]
+    first = [F.when(usable(F.col("score")), F.col("score")).desc_nulls_last()] if sharpness is None else []
+    order = [*first, F.col("key").desc_nulls_last(), F.col("id").asc()]
     spread = scratch.cut(rows.repartitionByRange(parts, F.col("contributor"), *order).withColumn("part", F.spark_partition_id()))
     counts = spread.groupBy("contributor", "part").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.withColumn("offset", F.sum("n").over(W.partitionBy("contributor").orderBy("part")) - F.col("n")).drop("n")

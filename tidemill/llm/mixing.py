@@ -56,11 +56,13 @@ def exponent_for_entropy(natural: list[float], wanted: float) -> float:
     return (low + high) / 2
 
 
-def exponent_for_limits(natural: list[float], target: list[float], budget: float, limits: list[float]) -> float:
-    """The greatest exponent in [0, 1] at which no source needs more than its limit; 0 if even that exceeds one."""
+def fitting_exponent(natural: list[float], target: list[float], budget: float, limits: list[float], bound: list[int]) -> float:
+    """The greatest exponent in [0, 1] at which none of the sources `bound` needs more than its limit; 0 if even that exceeds
+    one, 1 only if the targets themselves fit. A source without tokens needs its target share, which nothing can give."""
 
     def fits(e: float) -> bool:
-        return all(w * budget <= m * (1 + 1e-12) for w, m in zip(blend(natural, target, e), limits))
+        mixed = blend(natural, target, e) if e < 1 else target
+        return all(mixed[i] * budget <= limits[i] * (1 + 1e-12 * (e < 1)) for i in bound)
 
     if fits(1.0):
         return 1.0
@@ -71,14 +73,20 @@ def exponent_for_limits(natural: list[float], target: list[float], budget: float
     return low
 
 
-PLAN = "source string, target_share double, max_repeats int, documents long, tokens long, total_tokens long, limit_tokens long, wanted_tokens double, short boolean, exponent double, tempered_share double, entropy_exponent double, budget_tokens long"
+def exponent_for_limits(natural: list[float], target: list[float], budget: float, limits: list[float]) -> float:
+    """The greatest exponent in [0, 1] at which no source with tokens needs more than its limit."""
+    return fitting_exponent(natural, normalised(target), budget, limits, [i for i, s in enumerate(natural) if s > 0])
+
+
+PLAN = "source string, target_share double, max_repeats int, documents long, tokens long, total_tokens long, limit_tokens long, wanted_tokens double, own_exponent double, short boolean, exponent double, tempered_share double, entropy_exponent double, budget_tokens long"
 
 
 def plan(counted: DataFrame, targets: DataFrame, source: str = "source", count: str = "tokens", tempered: bool = False) -> DataFrame:
     """One row per target source. `counted` has a source and a token count for each document.
 
     `wanted_tokens` is the target share of all tokens of the corpus and `budget_tokens` the lesser of that and the
-    limit. With `tempered` the budget is the tokens the target sources hold, shared at the exponent that meets the limits.
+    limit. `own_exponent` is how far the mix can be tempered from the natural to the target shares of the whole corpus
+    before this source alone meets its repetition limit; a source is short if that is before its target. With `tempered` the budget is the tokens the target sources hold, shared at the exponent that meets the limits.
     """
     spark = counted.sparkSession
     by = counted.groupBy(source_key(F.col(source)).alias("_s")).agg(F.count(F.lit(1)).alias("documents"), F.sum(count).alias("tokens"))
@@ -92,9 +100,7 @@ def plan(counted: DataFrame, targets: DataFrame, source: str = "source", count:
     # One row per source of the corpus may be many; the total is one number and the rest is cut to the targets' sources.
     by = by.withColumn("_target", F.col("_s").isNotNull())
     joined = by.join(size_checked(wanted, MOST_TARGETS), by["_s"] == wanted["source"], "left")
-    rows = joined.groupBy("source", "target_share", "max_repeats").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).limit(MOST_TARGETS + 2).collect()
-    if len(rows) > MOST_TARGETS + 1:
-        raise ValueError(f"more than {MOST_TARGETS} sources in the targets")
+    rows = joined.groupBy("source", "target_share", "max_repeats").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).collect()  # a row per target
     total = sum(r["tokens"] or 0 for r in rows)
     have = {r["source"]: r for r in rows if r["source"] is not None}
     goals = sorted(wanted.collect(), key=lambda r: r["source"])
@@ -105,10 +111,11 @@ def plan(counted: DataFrame, targets: DataFrame, source: str = "source", count:
     e = exponent_for_limits(natural, share, own, limits)
     mixed, h = blend(natural, share, e), exponent_for_entropy(natural, entropy(normalised(share)))
     out = []
-    for g, (docs, toks), limit, m in zip(goals, held, limits, mixed):
+    for i, (g, (docs, toks), limit, m) in enumerate(zip(goals, held, limits, mixed)):
         want = g["target_share"] * total
+        own_exponent = fitting_exponent(natural, share, total, limits, [i])
         budget = min(int(m * own if tempered else want), limit)
-        out.append((g["source"], g["target_share"], g["max_repeats"], docs, toks, total, limit, want, limit < want, e, m, h, budget))
+        out.append((g["source"], g["target_share"], g["max_repeats"], docs, toks, total, limit, want, own_exponent, own_exponent < 1, e, m, h, budget))
     return spark.createDataFrame(out, PLAN)
 
 

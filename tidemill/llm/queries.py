@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..tables import Scratch, latest_rows, read
+from ..tables import Scratch, latest_of_wide, read
 from . import contributors, email_body, mixing, near_duplicates, neighbours, page_body, shared_spans, site_lines, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,8 @@ def p1_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_reservoir(spark: SparkSession, d: str) -> DataFrame:
-    """The pool drawn with weights score^4 instead of strictly by score."""
-    return _capped(spark, d, power=4.0).filter("kept").select("id", "contributor", "place")
+    """The pool drawn by weight: a score higher by one is worth e times as much."""
+    return _capped(spark, d, sharpness=1.0).filter("kept").select("id", "contributor", "place")
 
 
 def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +96,7 @@ def p4_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "discovered_articles").select(F.col("article_id").alias("id"), "discovered_at", "text", F.col("inline_html").alias("markup"), "title", F.col("source_id").alias("source"), "author", F.col("extraction_confidence").alias("confidence"))
-    return latest_rows(pages, "id", [F.col("discovered_at")]).drop("discovered_at")
+    return latest_of_wide(pages, "id", [F.col("discovered_at")]).drop("discovered_at")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     mail = read(spark, d, "email_payloads").select(F.col("message_id").alias("id"), "subject", "author", F.col("from_address").alias("sender"), F.col("received_at").alias("at"), F.col("text_body").alias("text"), F.when(F.col("text_body").isNull(), F.col("html_body")).alias("html"))
-    return latest_rows(mail, "id", [F.col("at")])
+    return latest_of_wide(mail, "id", [F.col("at")])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -204,6 +204,10 @@ placed as (
 SQL: dict[str, str] = {
     "p1_found": _P1_PLACES + "select id from placed where place > (n * 2) // 100",
     "p1_pool": _P1_PLACES + "select id, contributor, score as intrinsic_score, place from placed where place <= (n * 2) // 100",
+    "p1_reservoir": _P1_PLACES + """,
+keyed as (select id, contributor, score, n, score - ln(-ln((cast('0x' || substr(md5('11:' || id), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0)) key from placed),
+drawn as (select id, contributor, n, row_number() over (partition by contributor order by key desc nulls last, id) place from keyed)
+select id, contributor, place from drawn where place <= (n * 2) // 100""",
     "p2_found": r"""
 with parts as (select distinct source_id, article_id, string_split(text, chr(10)) lines from extracted_articles where text is not null),
 lines as (select source_id, article_id, unnest(lines) line, unnest(range(len(lines))) line_no from parts),

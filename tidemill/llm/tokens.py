@@ -12,13 +12,15 @@ strings of special tokens are ordinary text; every row gives exactly one row, re
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .arrow import list_array, map_arrow
 
@@ -106,6 +108,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> None:
+    """Send the vocabulary's file from the driver to the executors, once for each application."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _SHIPPED:
+        spark.sparkContext.addFile(vocabulary)
+        _SHIPPED.add(key)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """`df` with the list column `out` in place of `text`. A clashing column named `out` is replaced."""
     return _tokens(df, text, out, T.ArrayType(T.IntegerType(), False), vocabulary)
@@ -120,9 +133,11 @@ def _tokens(df: DataFrame, text: str, out: str, kind: T.DataType, vocabulary: st
     kept = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind, False)])
     listed = isinstance(kind, T.ArrayType)
+    shipped(df.sparkSession, vocabulary)
+    name = os.path.basename(vocabulary)
 
     def make(part: pa.RecordBatch) -> dict:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         texts = part.column(part.schema.get_field_index(text)).to_pylist()
         cols = {c: part.column(part.schema.get_field_index(c)) for c in kept}
         if listed:
