@@ -59,6 +59,24 @@ def test_history_without_marks_is_found_by_the_thread(spark):
     assert lines(spark, rows) == {("m2", 2)}
 
 
+def test_short_lines_and_own_repeats_count_beside_history(spark):
+    said = "The harbour closed its ledgers on a cold morning in the north of the country."
+    more = "Nobody in the south had heard of it before the second week of the month."
+    rows = [
+        ("m1", "Plan", "Ann", "ann@x", AT, f"{said}\nWhy?\n{more}", None), ("m2", "Re: Plan", "Bob", "bob@x", AT + dt.timedelta(1), f"Yes.\n\n{said}\nWhy?\n{more}", None),
+        ("m3", "Re: Plan", "Ann", "ann@x", AT + dt.timedelta(2), f"Again:\n{said}\nWhy?\nWell.", None), ("m4", "Plan", "Cy", "cy@x", AT + dt.timedelta(3), said, None), ("m5", "Re: Plan", "Ann", "ann@x", AT + dt.timedelta(4), f"Once more\n{said}\nnew", None),
+        ("m6", "Re: Plan", "Di", "di@x", AT + dt.timedelta(5), "Why?", None),
+    ]
+    assert lines(spark, rows) == {("m2", 2), ("m2", 3), ("m2", 4), ("m3", 1), ("m3", 2)}
+
+
+def test_a_hot_thread_is_ranked_salt_by_salt(spark):
+    said = "The harbour closed its ledgers on a cold morning in the north of the country."
+    rows = [(f"m{i:03d}", "Re: Hot", f"A{i}", f"a{i}@x", AT + dt.timedelta(hours=(i * 37) % 200), f"Own text of number {'abcdefghij'[i % 10] * (i + 3)}.\n\n{said}", None) for i in range(200)]
+    first = min(rows, key=lambda r: (r[4], r[0]))[0]
+    assert lines(spark, rows) == {(r[0], 2) for r in rows if r[0] != first}
+
+
 def test_lines_that_close_a_senders_messages(spark):
     rows = [(f"m{i}", None, "Ann", "ann@x", AT, f"Text number {'abcdefgh'[i]} of this kind.\n\nOnward and upward, as ever", None) for i in range(6)]
     rows += [("o", None, "Bob", "bob@x", AT, "Text.\n\nOnward and upward, as ever", None)]

@@ -1,16 +1,20 @@
 """Reducing emails to what their sender newly wrote.
 
-A message's lines are normalised and exploded. Inside one message, quotes (marks, indentation, quoting elements of
-HTML), the lines that introduce earlier messages, signatures, device notes, disclaimers and list footers are told by
-their form. Across messages, window-free SQL does the rest: of the lines with the same words in one thread only the
-first in time is its author's own, later ones by other senders are history; and lines of a message's last paragraph
-that recur in a good part of their sender's messages are closing lines. Threads and senders are never gathered: all
-grouping is by line within thread or sender, so a subject or sender with a third of all mail stays spread.
+A message's lines are normalised and exploded. Across messages SQL windows rank the lines of a thread by date: of the
+lines with the same words the first is its author's own; those of a later reply or forward are history, long lines at
+once, short ones and those of the same sender where the line before or after is history too. Lines of a message's last
+paragraph that recur in a good part of their sender's messages are closing lines. Windows are taken salt by salt first, so
+a thread or sender with a third of all mail stays spread.
+
+Where earlier mail isn't in the table under the same subject, or is dated later, windows can't see it. So inside one
+message, quotes (marks, indentation, quoting elements of HTML), the lines that introduce earlier messages, signatures,
+device notes, disclaimers and list footers are told by their form first; the README says how much either stage finds.
 
 Defined cases: the body is the text body, or the HTML body if the text is null; both null or empty give no rows; lines
 without visible text beyond tags and quote marks are no cases; the latest of several rows of one message holds; rows
-without id are dropped; null subjects make no thread, null senders no recurrence; ties in time go to the smaller id;
-other columns are ignored; empty tables give empty results.
+without id are dropped; null subjects make no thread, null senders no recurrence; messages without a reply or forward
+mark in their subject continue no thread; ties in time go to the smaller id; other columns are ignored; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..tables import Scratch
 from .arrow import list_array, map_arrow
 
-LEAST_THREAD_LETTERS = 40
+LONG_LETTERS, SALTS = 40, 32
 RECUR_MESSAGES, RECUR_SHARE = 3, 0.2
 
 # How mail programs and writers of three languages mark earlier mail and endings.
@@ -76,6 +80,10 @@ _QUOTING = regex.compile(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*(?:prior|quote|histo
 _PREFIX = regex.compile(r"^\s*(?:(?:re|fw|fwd|aw|wg|rv|tr|antw|reenv)(?:\[\d+\])?\s*:\s*)+", regex.I)
 _NOT_LETTERS = regex.compile(r"\P{L}+")
 _NUMBERS = regex.compile(r"\p{N}+")
+# What the patterns above can begin with; lines that begin otherwise needn't be held against them.
+_ENDING_STARTS = tuple("sent get von vom enviado you leave unsubscribe manage view sie abmelden abbestellen briefe im recibe darse gestion ver * confiden vertraulich this please opinions if no diese bitte wenn falls bei aus este esta si las piense antes".split())
+_RULER_STARTS = ("_", "-", "begin", "anfang", "inicio")
+_FROM_STARTS = ("from", "von", "de", "*from", "*von", "*de")
 
 
 def thread_key(subject: str | None) -> str | None:
@@ -92,7 +100,8 @@ class Message:
         self.names = {w for w in _NOT_LETTERS.split((author or "").lower()) if w}
         self.quoted = np.zeros(n, dtype=bool)
         self.shown = self._html() if is_html else self.raw
-        self.text = [_MARKS.sub("", line).strip() for line in self.shown]
+        self.known: dict[int, int] = {}
+        self.text = [_MARKS.sub("", line).strip() if line.lstrip()[:1] in (">", "|") else line.strip() for line in self.shown]
         self.seen = np.array([bool(t) for t in self.text])
         self.case = np.zeros(n, dtype=bool)
         self._marks()
@@ -123,7 +132,7 @@ class Message:
 
     def _marks(self) -> None:
         for i, line in enumerate(self.shown):
-            if _MARK.match(line):
+            if line.lstrip()[:1] in (">", "|") and _MARK.match(line):
                 self.quoted[i] = True
         # Indentation quotes only where a line of introduction stands before it.
         introduced = False
@@ -143,10 +152,15 @@ class Message:
 
     def _introduces(self, i: int) -> int:
         """How many lines from i on introduce an earlier message, 0 if none."""
+        if i not in self.known:
+            self.known[i] = self._introduction(i)
+        return self.known[i]
+
+    def _introduction(self, i: int) -> int:
         line = self.text[i]
-        if _ATTRIBUTION.match(line):
+        if line.endswith(":") and _ATTRIBUTION.match(line):
             return 1
-        if _OPENS.match(line) and len(line) < 160:
+        if any(t.endswith(":") for t in self.text[i + 1 : i + 3]) and _OPENS.match(line):
             joined, at = line, i
             for _ in range(2):
                 at += 1
@@ -155,9 +169,10 @@ class Message:
                 joined += " " + self.text[at]
                 if _ATTRIBUTION.match(joined):
                     return at - i + 1
-        if _RULER.match(line) or _RULED.match(line):
+        low = line[:8].lower()
+        if low.startswith(_RULER_STARTS) and (_RULER.match(line) or _RULED.match(line)):
             return 1 + self._header(i + 1)
-        return self._header(i)
+        return self._header(i) if low.startswith(_FROM_STARTS) else 0
 
     def _header(self, i: int) -> int:
         """The length of a block of header fields that begins at i (blank lines before it count)."""
@@ -201,7 +216,7 @@ class Message:
         start = None
         for place, i in enumerate(own):
             line = self.text[i]
-            if _DELIMITER.match(line):
+            if len(line) < 4 and _DELIMITER.match(line):
                 start = place
                 break
             if line.rstrip(" ,.!;").lower() in _CLOSINGS and place >= 0:
@@ -209,6 +224,8 @@ class Message:
                 if following is None or self._name(self.text[following]) or _DEVICE.match(self.text[following]) or _LIST.match(self.text[following]) or _NOTICE.match(self.text[following]) or following > i + 1:
                     start = place
                     break
+            if not line[:12].lower().startswith(_ENDING_STARTS):
+                continue
             if _DEVICE.match(line) or _LIST.match(line):
                 start = place
                 break
@@ -244,7 +261,7 @@ class Message:
         return []
 
 
-JUDGED = "id string, sender string, thread string, at timestamp, cases array<int>, own array<int>, own_keys array<long>, closing array<int>, closing_keys array<long>"
+JUDGED = "id string, sender string, thread string, reply boolean, at timestamp, cases array<int>, own array<int>, own_keys array<long>, long_ones array<boolean>, closing array<int>, closing_keys array<long>"
 
 
 def judged(messages: DataFrame) -> DataFrame:
@@ -252,53 +269,78 @@ def judged(messages: DataFrame) -> DataFrame:
 
     def make(part: pa.RecordBatch) -> dict:
         ids, subjects, authors, senders, times, texts, pages = (part.column(k) for k in range(7))
-        cases, own, own_keys, closing, closing_keys = [], [], [], [], []
+        outs: tuple[list, ...] = ([], [], [], [], [], [])
         empty = np.empty(0, dtype=np.int64)
         for author, text, page in zip(authors.to_pylist(), texts.to_pylist(), pages.to_pylist()):
             body = text if text is not None else page
             if not body:
-                for out in (cases, own, own_keys, closing, closing_keys):
+                for out in outs:
                     out.append(empty)
                 continue
             m = Message(body, text is None, author)
-            cases.append(np.flatnonzero(m.case))
-            kept, keys = [], []
-            for i in np.flatnonzero(m.seen & ~m.case):
-                bare = _NOT_LETTERS.sub("", m.text[i].lower())
-                if len(bare) >= LEAST_THREAD_LETTERS:
+            kept, keys, far = [], [], []
+            for i in np.flatnonzero(m.seen & ~m.case).tolist():
+                bare = "".join(filter(str.isalpha, m.text[i].lower()))
+                if bare:
                     kept.append(i)
                     keys.append(xxhash.xxh3_64_intdigest(bare) - (1 << 63))
-            own.append(np.array(kept, dtype=np.int64))
-            own_keys.append(np.array(keys, dtype=np.int64))
+                    far.append(len(bare) >= LONG_LETTERS)
             last = m.last_paragraph()
-            closing.append(np.array(last, dtype=np.int64))
-            closing_keys.append(np.array([xxhash.xxh3_64_intdigest(_NUMBERS.sub("#", m.text[i].lower())) - (1 << 63) for i in last], dtype=np.int64))
+            closing_keys = [xxhash.xxh3_64_intdigest(_NUMBERS.sub("#", m.text[i].lower())) - (1 << 63) for i in last]
+            for out, values in zip(outs, (np.flatnonzero(m.case), kept, keys, far, last, closing_keys)):
+                out.append(np.array(values, dtype=np.int64))
 
         def column(rows, kind):
-            return list_array(np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows)), kind)
+            return list_array(np.concatenate(rows).astype(kind.to_pandas_dtype()), np.fromiter(map(len, rows), np.int64, len(rows)), kind)
 
         i32, i64 = pa.int32(), pa.int64()
-        threads = [thread_key(s) for s in subjects.to_pylist()]
-        return {"id": ids, "sender": senders, "thread": threads, "at": times, "cases": column(cases, i32), "own": column(own, i32), "own_keys": column(own_keys, i64), "closing": column(closing, i32), "closing_keys": column(closing_keys, i64)}
+        subjects = subjects.to_pylist()
+        kinds = {"cases": i32, "own": i32, "own_keys": i64, "long_ones": pa.bool_(), "closing": i32, "closing_keys": i64}
+        named = {"id": ids, "sender": senders, "thread": [thread_key(s) for s in subjects], "reply": [bool(s and _PREFIX.match(s)) for s in subjects], "at": times}
+        return named | {name: column(rows, kind) for (name, kind), rows in zip(kinds.items(), outs)}
 
     chosen = messages.select("id", "subject", "author", F.lower(F.trim("sender")).alias("sender"), "at", "text", "html")
     return map_arrow(chosen, JUDGED, None, make)
 
 
+def first_of(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The first line of each group by date and id, ranked within salts before it is ranked among their firsts."""
+    order = [F.col("at").asc_nulls_first(), F.col("id"), F.col("line_no")]
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for part in ([*keys, "salt"], keys):
+        salted = salted.withColumn("n", F.row_number().over(W.partitionBy(*part).orderBy(*order))).filter(F.col("n") == 1)
+    return salted.drop("salt", "n")
+
+
+def repeated_of_thread(found: DataFrame) -> DataFrame:
+    """id and line_no of lines of replies and forwards that another message of the thread said first."""
+    lines = found.filter("thread is not null").select("id", "thread", "sender", "reply", "at", F.explode(F.arrays_zip(F.col("own").alias("line_no"), F.col("own_keys").alias("key"), F.col("long_ones").alias("far"))).alias("l"))
+    lines = lines.select("id", "thread", "sender", "reply", "at", "l.line_no", "l.key", "l.far")
+    # Threads of one message have nothing to compare.
+    several = found.filter("thread is not null").groupBy("thread").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("thread")
+    lines = lines.join(several, "thread")
+    first = first_of(lines, ["thread", "key"]).select("thread", "key", F.col("id").alias("first_id"), F.col("sender").alias("first_sender"))
+    met = lines.join(first, ["thread", "key"]).withColumn("later", F.col("reply") & (F.col("id") != F.col("first_id"))).withColumn("other", ~F.col("sender").eqNullSafe(F.col("first_sender")))
+    w = W.partitionBy("id").orderBy("line_no")
+    beside = F.coalesce(F.lag("later").over(w), F.lit(False)) | F.coalesce(F.lead("later").over(w), F.lit(False))
+    return met.withColumn("beside", beside).filter(F.col("later") & ((F.col("far") & F.col("other")) | F.col("beside"))).select("id", "line_no")
+
+
+def recurrent_of_sender(found: DataFrame) -> DataFrame:
+    """id and line_no of closing lines that stand in enough of their sender's messages."""
+    known = found.filter("sender is not null")
+    ends = known.select("id", "sender", F.explode(F.arrays_zip(F.col("closing").alias("line_no"), F.col("closing_keys").alias("key"))).alias("l")).select("id", "sender", "l.line_no", "l.key")
+    sent = known.groupBy("sender").agg(F.count(F.lit(1)).alias("sent"))
+    counted = ends.groupBy("sender", "key", "id").agg(F.lit(1).alias("one")).groupBy("sender", "key").agg(F.count("one").alias("n")).join(sent, "sender")
+    recur = counted.filter((F.col("n") >= RECUR_MESSAGES) & (F.col("n") >= RECUR_SHARE * F.col("sent"))).select("sender", "key")
+    return ends.join(recur, ["sender", "key"], "left_semi").select("id", "line_no")
+
+
 def not_newly_written(messages: DataFrame, scratch: Scratch) -> DataFrame:
     """id and line_no (from 0) of every line with visible text that its sender didn't newly write."""
     found = scratch.cut(judged(messages.filter("id is not null")))
     by_form = found.select("id", F.explode("cases").alias("line_no"))
-
-    lines = found.filter("thread is not null").select("id", "thread", "sender", "at", F.explode(F.arrays_zip(F.col("own").alias("line_no"), F.col("own_keys").alias("key"))).alias("l")).select("id", "thread", "sender", "at", "l.line_no", "l.key")
-    first = lines.groupBy("thread", "key").agg(F.min(F.struct("at", "id", "sender")).alias("f"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("thread", "key", F.col("f.at").alias("first_at"), F.col("f.id").alias("first_id"), F.col("f.sender").alias("first_sender"))
-    later = lines.join(first, ["thread", "key"]).filter((F.col("id") != F.col("first_id")) & ~F.col("sender").eqNullSafe(F.col("first_sender"))).select("id", "line_no")
-
-    ends = found.filter("sender is not null").select("id", "sender", F.explode(F.arrays_zip(F.col("closing").alias("line_no"), F.col("closing_keys").alias("key"))).alias("l")).select("id", "sender", "l.line_no", "l.key")
-    sent = found.filter("sender is not null").groupBy("sender").agg(F.count(F.lit(1)).alias("sent"))
-    recur = ends.select("sender", "key", "id").distinct().groupBy("sender", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECUR_MESSAGES).join(sent, "sender").filter(F.col("n") >= RECUR_SHARE * F.col("sent")).select("sender", "key")
-    closing = ends.join(recur, ["sender", "key"], "left_semi").select("id", "line_no")
-    return by_form.unionByName(later).unionByName(closing).distinct()
+    return by_form.unionByName(repeated_of_thread(found)).unionByName(recurrent_of_sender(found)).distinct()
 
 
 def bodies(messages: DataFrame, lines: DataFrame) -> DataFrame:
