@@ -7,8 +7,8 @@ register holds its earliest point, and two texts agree on a register with a prob
 Jaccard similarity. Points are drawn block by block only up to the time by which all registers are filled, so a text
 takes time in proportion to its distinct elements and not to elements times registers.
 
-Signatures are banded; pairs of one bucket are held against the whole signatures and then verified by the overlap of
-their multisets (40-bit shingle hashes). Texts with equal multisets are one class and enter once; pairs between classes
+Signatures are banded; pairs of one bucket are held against the whole signatures (crowded buckets block by block, see
+`buckets`) and then verified by the overlap of their multisets (40-bit shingle hashes). Texts with equal multisets are one class and enter once; pairs between classes
 are found and verified, and only the pairs asked for are expanded to members.
 
 Defined cases: texts with fewer words than a shingle (null, empty and blank ones too) have no partner; repeated rows of
@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..tables import Scratch
+from . import buckets
 from .arrow import map_arrow, mix64
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
@@ -153,6 +154,12 @@ def sketches(records: DataFrame, setup: Setup) -> DataFrame:
     return map_arrow(records.select("id", "version", "text"), schema, "text", make)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The set of some hashes, sorted, HASH_BYTES bytes each."""
+    kept = np.unique(hashes & np.uint64((1 << 8 * HASH_BYTES) - 1))
+    return kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
 def packed_sets(records: DataFrame, setup: Setup) -> DataFrame:
     """id and the sorted shingles, HASH_BYTES bytes each, with counts appended as further shingles."""
     schema = T.StructType([records.schema["id"], T.StructField("packed", T.BinaryType())])
@@ -166,8 +173,7 @@ def packed_sets(records: DataFrame, setup: Setup) -> DataFrame:
                 hashes = np.sort(hashes)
                 first = np.searchsorted(hashes, hashes)
                 hashes = mix64(hashes + (np.arange(len(hashes)) - first).astype(np.uint64) * _BLOCK)
-            kept = np.unique(hashes & np.uint64((1 << 8 * HASH_BYTES) - 1))
-            out.append(kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes())
+            out.append(packed(hashes))
         return {"id": part.column(0), "packed": out}
 
     return map_arrow(records.select("id", "text"), schema, "text", make)
@@ -179,7 +185,9 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return cells.view("<u8").ravel()
 
 
-def _similarity() -> object:
+def similarity() -> object:
+    """Jaccard similarity of two packed sets."""
+
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
@@ -191,16 +199,6 @@ def _similarity() -> object:
     return F.pandas_udf(jaccard, T.DoubleType())
 
 
-def _agreeing(registers: int) -> object:
-    def share(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, registers) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1))
-
-    return F.pandas_udf(share, T.DoubleType())
-
-
 @dataclass
 class Classes:
     members: DataFrame  # id, hi, lo of every record; hi and lo are null where it has no shingle
@@ -219,37 +217,40 @@ def classes(records: DataFrame, scratch: Scratch, setup: Setup) -> Classes:
     chosen = scratch.cut(chosen.select("id", "size", "signature", "bands"))
 
     banded = chosen.select("id", F.explode("bands").alias("band"))
-    # Only buckets with company are joined; most bands are alone and leave here.
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1")
-    twos = shared.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowds = scratch.cut(banded.join(shared.filter("n > 2").select("band"), "band"))
-    more = crowds.select("band", F.col("id").alias("a")).join(crowds.select("band", F.col("id").alias("b")), "band").filter("a < b").select("a", "b")
-    pairs = twos.unionByName(more).distinct()
-
-    small = chosen.select("id", "size", "signature")
+    alike = lambda: F.least("size_a", "size_b") >= s * F.greatest("size_a", "size_b")
     s = setup.similarity
-    left = small.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("signature").alias("x"))
-    right = small.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("signature").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").filter((F.least("m", "n") >= s * F.greatest("m", "n")))
     slack = 5 * float(np.sqrt(s * (1 - s) / setup.registers))
-    near = scratch.cut(near.filter(_agreeing(setup.registers)("x", "y") >= s - slack).select("a", "b"))
+    near = scratch.cut(buckets.pairs(banded, chosen.select("id", "size", "signature"), setup.registers, s - slack, alike))
 
     involved = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     latest = records.join(involved, "id", "left_semi")
     latest = latest.groupBy("id").agg(F.max_by("text", F.struct("version", F.length("text"), "text")).alias("text"))
     sets = scratch.cut(packed_sets(latest, setup))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("packed").alias("q")), "b")
-    verified = both.select("a", "b", _similarity()("p", "q").alias("similarity")).filter(F.col("similarity") >= s - 1e-12)
+    verified = both.select("a", "b", similarity()("p", "q").alias("similarity")).filter(F.col("similarity") >= s - 1e-12)
     return Classes(members, scratch.cut(verified.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "similarity")), reps)
 
 
+ROWS_A_PART = 512
+
+
+def joined_apart(left: DataFrame, members: DataFrame, sizes: DataFrame, key: list[str], id: str) -> DataFrame:
+    """`left` joined with `members` (key, id), the members of a large key in parts of about ROWS_A_PART rows, so that the
+    rows of a key are made by many tasks. `sizes`: key, n."""
+    parted = sizes.select(*key, F.ceil(F.col("n") / ROWS_A_PART).cast("int").alias("_parts"))
+    salted = members.join(parted, key).withColumn("_salt", F.pmod(F.xxhash64(id), F.col("_parts")).cast("int")).drop("_parts")
+    return left.join(parted, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").join(salted, [*key, "_salt"]).drop("_salt")
+
+
 def pairs_of_members(found: Classes) -> DataFrame:
     """Every pair of records: those of two linked classes, and those within one class."""
+    sizes = found.representatives.select("rep", F.col("copies").alias("n"))
     named = found.members.join(found.representatives, ["hi", "lo"]).select("id", "rep", "copies")
-    a, b = named.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), named.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"))
-    across = found.pairs.join(a, "rep_a").join(b, "rep_b").select("a", "b")
+    as_ = lambda df, side: df.withColumnRenamed("rep", f"rep_{side}")
+    first = joined_apart(found.pairs.select("rep_a", "rep_b"), as_(named.select(F.col("id").alias("a"), "rep"), "a"), as_(sizes, "a"), ["rep_a"], "a")
+    across = joined_apart(first.select("a", "rep_b"), as_(named.select(F.col("id").alias("b"), "rep"), "b"), as_(sizes, "b"), ["rep_b"], "b").select("a", "b")
     several = named.filter("copies > 1")
-    within = several.select(F.col("id").alias("a"), "rep").join(several.select(F.col("id").alias("b"), "rep"), "rep").filter("a < b").select("a", "b")
+    within = joined_apart(several.select(F.col("id").alias("a"), "rep"), several.select(F.col("id").alias("b"), "rep"), sizes.filter("n > 1"), ["rep"], "b").filter("a < b").select("a", "b")
     return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
 
 
