@@ -69,3 +69,21 @@ def test_long_text_and_empty(spark):
     none = frame(spark, texts).limit(0)
     found = sp.runs(sp.repeated_windows(none, scratch), scratch)
     assert sp.pairs(found).count() == 0 and sp.covered(none, found).count() == 0
+
+
+def test_sketches_merge_as_a_tree_and_fill_without_loss(spark, monkeypatch):
+    """Tiny sketches, flushed often and merged two at a time, still lose no window."""
+    monkeypatch.setattr(sp, "FAN", 2)
+    monkeypatch.setattr(sp, "FLUSH", 50)
+    monkeypatch.setattr(sp, "LEAST_BITS", 10)
+    monkeypatch.setattr(sp, "MOST_BITS", 11)
+    rng = random.Random(12)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(260)) for _ in range(6)]
+    texts = {i: "".join(rng.choice("ghijk ") for _ in range(400)) + (rng.choice(passages) if i % 3 else "") + "".join(rng.choice("lmno ") for _ in range(300)) for i in range(60)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(9)
+    found = sp.runs(sp.repeated_windows(df, Scratch(spark, "t")), Scratch(spark, "t"))
+    assert {tuple(r) for r in sp.pairs(found).collect()} == shared(texts)[0]
+
+
+def test_cells_follow_the_corpus():
+    assert sp.cell_bits(0) == sp.LEAST_BITS and sp.cell_bits(10**9) == 25 and sp.cell_bits(10**14) == sp.MOST_BITS

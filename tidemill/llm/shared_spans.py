@@ -8,8 +8,10 @@ cells overestimate a window's count, never underestimate it. A second pass takes
 exactly those estimated repeated, by hash and document; what the sketch lets through wrongly falls out here, and none is
 lost. Of the windows that remain the characters around them that decide about a run of `least` are then compared.
 
-The sketch has a fixed size (`CELL_BITS`), which bounds what is merged and broadcast. When a corpus fills it, it lets
-more through and saves less: at worst 20 bytes for every 69 characters are grouped. The result is the same.
+A partition sends its filled cells, sorted, and no empty ones. Sketches are merged as a tree, FAN at a time within each
+segment of cells, so no task holds more than FAN of them. The sketch has about two cells for each window, by the length of
+all texts, and at most 2^MOST_BITS, which bounds what is broadcast (64 MB). Beyond that it fills, lets more through and
+saves less: at worst 20 bytes for every 69 characters are grouped. The result is the same.
 
 Defined cases: texts shorter than `least` (null and empty ones too) share nothing; spans are compared by code point,
 exactly; several spans of one pair give one pair; a passage twice in one text is not shared with itself; repeated rows
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..tables import Scratch, size_checked
 from .arrow import map_arrow, mix64
+from .near_duplicates import joined_apart
 
 LEAST, WINDOW = 200, 64
-CELL_BITS, SEGMENTS = 24, 256
+LEAST_BITS, MOST_BITS, SEGMENTS, FAN = 16, 28, 256, 64
+FLUSH = 1 << 21
 FEW = 32
 MOST_BROADCAST = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so its powers have inverses modulo 2^64
@@ -84,59 +88,81 @@ class Sampler:
         return places, hashes[places]
 
 
-def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << CELL_BITS) - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(64 - CELL_BITS)) & mask).astype(np.int64)
+def cell_bits(characters: int, least: int = LEAST, window: int = WINDOW) -> int:
+    """Bits of a cell's number: about two cells for each sampled window of so many characters."""
+    windows = max(1, 2 * characters // (least - window + 2))
+    return min(MOST_BITS, max(LEAST_BITS, (2 * windows - 1).bit_length()))
 
 
-def _merge(once: np.ndarray, again: np.ndarray, other_once: np.ndarray, other_again: np.ndarray) -> None:
-    again |= other_again | (once & other_once)
-    once |= other_once
+def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the two rows; those of the second stand behind those of the first."""
+    mask = np.uint64((1 << bits) - 1)
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(64 - bits)) & mask).astype(np.int64) + (1 << bits)
 
 
-def _packed(once: np.ndarray, again: np.ndarray) -> bytes:
-    return zlib.compress(once.tobytes() + again.tobytes(), 1)
+def _told(cells: np.ndarray, again: np.ndarray) -> bytes:
+    """Filled cells of a segment and whether more than one text filled them."""
+    return zlib.compress((cells.astype(np.uint32) << np.uint32(1) | again.astype(np.uint32)).tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
-    half = len(both) // 2
-    return both[:half].copy(), both[half:].copy()
+def _heard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), dtype=np.uint32)
+    return (both >> np.uint32(1)).astype(np.int64), (both & np.uint32(1)).astype(bool)
 
 
-def repeated_cells(documents: DataFrame, least: int, window: int) -> np.ndarray:
-    """Two rows of bits: the cells that more than one text may have filled. Their size is fixed."""
-    schema = T.StructType.fromDDL("segment int, cells binary")
-    rows = 2 << CELL_BITS  # both rows in one run of bits
-    step = rows // 8 // SEGMENTS
+def repeated_cells(documents: DataFrame, bits: int, least: int, window: int) -> np.ndarray:
+    """Two rows of packed bits: the cells that more than one text may have filled."""
+    step = (2 << bits) // SEGMENTS
+    schema = T.StructType.fromDDL("segment int, part int, cells binary")
+    names = ["segment", "part", "cells"]
+
+    def told(part: int, held: list[np.ndarray]):
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        starts = np.searchsorted(cells, np.arange(SEGMENTS + 1) * step)
+        filled = np.flatnonzero(np.diff(starts))
+        data = [_told(cells[starts[s] : starts[s + 1]] - s * step, counts[starts[s] : starts[s + 1]] > 1) for s in filled]
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(np.full(len(filled), part, np.int32)), pa.array(data, pa.binary())], names=names)
 
     def sketch(batches):
-        sampler = Sampler(least, window)
-        once, again = np.zeros(rows, dtype=bool), np.zeros(rows, dtype=bool)
+        from pyspark import TaskContext
+
+        part, sampler, held, size = TaskContext.get().partitionId(), Sampler(least, window), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and len(text) >= least:
-                    _, hashes = sampler(code_points(text))
-                    hashes = np.unique(hashes)  # a window twice in one text is one
-                    for row, cells in enumerate(_cells(hashes)):
-                        at = cells + (row << CELL_BITS)
-                        at, counts = np.unique(at, return_counts=True)
-                        again[at] |= once[at] | (counts > 1)
-                        once[at] = True
-        once, again = np.packbits(once).reshape(SEGMENTS, step), np.packbits(again).reshape(SEGMENTS, step)
-        filled = [s for s in range(SEGMENTS) if once[s].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([_packed(once[s], again[s]) for s in filled], pa.binary())], names=["segment", "cells"])
+                    hashes = np.unique(sampler(code_points(text))[1])  # a window twice in one text is one
+                    for cells in _cells(hashes, bits):
+                        held.append(np.unique(cells))
+                        size += len(cells)
+            if size > FLUSH:
+                yield told(part, held)
+                held, size = [], 0
+        if held:
+            yield told(part, held)
 
     def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        once, again = np.zeros(step, dtype=np.uint8), np.zeros(step, dtype=np.uint8)
+        once, again = np.zeros(step, dtype=bool), np.zeros(step, dtype=bool)
         for data in frame["cells"]:
-            _merge(once, again, *_unpacked(data))
-        return pd.DataFrame({"segment": [key[0]], "cells": [zlib.compress(again.tobytes(), 1)]}).astype({"segment": "int32"})
-
-    parts = documents.select("text").mapInArrow(sketch, schema).groupBy("segment").applyInPandas(merged, schema)
-    out = np.zeros((SEGMENTS, step), dtype=np.uint8)
+            cells, twice = _heard(data)
+            again[cells] |= once[cells] | twice
+            once[cells] = True
+        at = np.flatnonzero(once)
+        return pd.DataFrame({"segment": [key[0]], "part": [key[1]], "cells": [_told(at, again[at])]}).astype({"segment": "int32", "part": "int32"})
+
+    texts = documents.select("text")
+    parts = texts.mapInArrow(sketch, schema)
+    left = texts.rdd.getNumPartitions()
+    while True:
+        left = -(-left // FAN)
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("segment", "part").applyInPandas(merged, schema)
+        if left <= 1:
+            break
+    out = np.zeros((SEGMENTS, step // 8), dtype=np.uint8)
     for row in parts.toLocalIterator():
-        out[row["segment"]] = np.frombuffer(zlib.decompress(bytes(row["cells"])), dtype=np.uint8)
+        cells, again = _heard(bytes(row["cells"]))
+        bit = np.zeros(step, dtype=bool)
+        bit[cells[again]] = True
+        out[row["segment"]] = np.packbits(bit)
     return out.ravel()
 
 
@@ -148,7 +174,8 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, id: str = "doc_id",
     """
     spark = documents.sparkSession
     chosen = documents.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), "text")
-    bits = spark.sparkContext.broadcast(repeated_cells(chosen, least, window))
+    size = cell_bits(chosen.agg(F.sum(F.length("text"))).first()[0] or 0, least, window)
+    bits = spark.sparkContext.broadcast(repeated_cells(chosen, size, least, window))
     around = least - window
 
     def places(part: pa.RecordBatch) -> dict:
@@ -159,8 +186,7 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, id: str = "doc_id",
                 continue
             at, hashes = sampler(code_points(text))
             both = np.ones(len(hashes), dtype=bool)
-            for r, c in enumerate(_cells(hashes)):
-                c = c + (r << CELL_BITS)
+            for c in _cells(hashes, size):
                 both &= (cells[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
             rows.append(np.full(int(both.sum()), row))
             hashes_out.append(hashes[both].view(np.int64))
@@ -265,18 +291,21 @@ def _seal() -> list:
 def pairs(found: Runs) -> DataFrame:
     """id_a < id_b of all documents with a run in common.
 
-    The same documents meet in many windows: of the meetings with the same documents on both sides one is expanded.
+    The same documents meet in many windows: of the meetings with the same documents on both sides one is expanded, the
+    documents of a crowded side in parts (`joined_apart`).
     """
     holders = found.members.select("hash", "side", "id").distinct()
     sealed = holders.groupBy("hash", "side").agg(*_seal()).select("hash", "side", F.struct("n", "s", "x").alias("seal"))
+    sizes = sealed.select("hash", "side", F.col("seal.n").alias("n"))
     a, b = sealed.select("hash", F.col("side").alias("side_a"), F.col("seal").alias("seal_a")), sealed.select("hash", F.col("side").alias("side_b"), F.col("seal").alias("seal_b"))
     once = found.between.select("hash", "side_a", "side_b").join(a, ["hash", "side_a"]).join(b, ["hash", "side_b"]).groupBy("seal_a", "seal_b").agg(F.min(F.struct("hash", "side_a", "side_b")).alias("m")).select("m.*")
-    x, y = holders.select("hash", F.col("side").alias("side_a"), F.col("id").alias("a")), holders.select("hash", F.col("side").alias("side_b"), F.col("id").alias("b"))
-    met = once.join(x, ["hash", "side_a"]).join(y, ["hash", "side_b"]).filter("a != b").select("a", "b")
+    as_ = lambda df, side: df.withColumnRenamed("side", f"side_{side}").withColumnRenamed("id", side)
+    first = joined_apart(once, as_(holders, "a"), as_(sizes, "a"), ["hash", "side_a"], "a")
+    met = joined_apart(first, as_(holders, "b"), as_(sizes, "b"), ["hash", "side_b"], "b").filter("a != b").select("a", "b")
     keyed = found.crowded.select("key", "hash", "side").join(holders, ["hash", "side"]).select("key", "id").distinct()
-    kept = keyed.groupBy("key").agg(*_seal()).filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-    keyed = keyed.join(kept, "key")
-    crowd = keyed.select("key", F.col("id").alias("a")).join(keyed.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+    kept = keyed.groupBy("key").agg(*_seal()).filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    keyed = keyed.join(kept.select("key"), "key")
+    crowd = joined_apart(keyed.select("key", F.col("id").alias("a")), keyed.select("key", F.col("id").alias("b")), kept, ["key"], "b").filter("a < b").select("a", "b")
     return met.unionByName(crowd).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
