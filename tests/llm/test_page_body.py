@@ -51,6 +51,19 @@ def test_lines_of_a_page(spark, broken):
     assert found(spark, rows) == want
 
 
+def test_furniture_is_a_matter_of_the_site(spark):
+    """A line that stands outside bodies on many sites, but on few pages of each, stays in a body; so does a rare one."""
+    said = "Members of the circle read every letter two days before all others do."
+    def one(i, site, inside):
+        body = [f"Title n{i}", f"{PROSE} {i}", *([said] if inside else [])]
+        outside = [] if inside else [said]
+        markup = "<body><article><h1>" + body[0] + "</h1>" + "".join(f"<p>{x}</p>" for x in body[1:]) + "</article><div>" + "".join(f"<p>{x}</p>" for x in outside) + "</div></body>"
+        return (f"{site}{i}", "\n".join(body + outside), markup, body[0], site, None, None, 1, 2)
+    spread = [one(i, f"site{i}", False) for i in range(9)] + [one(50, "other", True)]
+    assert "other50" not in found(spark, spread)
+    assert found(spark, [one(i, "same", False) for i in range(9)] + [one(50, "same", True)])["same50"] == {2}
+
+
 def test_odd_pages(spark):
     long = "\n".join(["Menu", *[PROSE * 3] * 2000, "© x"])
     rows = [("null", None, None, None, None, None, None, 1, 2), ("empty", "", "<p>", "t", "s", "a", 0.5, 1, 2), ("blank", " \n ", None, "t", "s", None, 0.5, 1, 2), ("plain", f"Menu\nHome\nTitle\n{PROSE}\n{PROSE}\n© 2024", None, "Title", "s", None, 0.5, 1, 2), ("notitle", f"a\n{PROSE}\n{PROSE}\nb", "<div><p>" + PROSE, None, None, None, 0.5, 1, 2), ("long", long, None, None, None, None, 0.1, 1, 2), (None, "x", None, None, None, None, None, 1, 2)]

@@ -6,8 +6,8 @@ the candidate. Taken alone it keeps teasers and comments, which are as long as p
 captions; so where markup is there, stage two takes the innermost box that holds the title's heading and at least a
 paragraph, and reads the lines in it by their elements: dates and bylines, linked prompts, lists of related items with
 their teasers, notes on the author and prompts in the classes used for prompts elsewhere on the page are no main body.
-Stage three learns from the corpus: masked lines that stand outside the bodies of several pages (prompts, notices,
-navigation) are furniture inside a body too. Pages without title heading keep the block of stage one.
+Stage three learns from the corpus: masked lines that stand outside the bodies of a good part of a site's pages (prompts,
+notices, navigation) are furniture inside a body of that site too. Pages without title heading keep the block of stage one.
 
 Defined cases: null or empty text has no lines; blank lines are no cases; null markup leaves stage one and three; a null
 title is unknown; the latest of several rows of one page holds; rows without id are dropped; ties of blocks go to the
@@ -22,12 +22,13 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..tables import Scratch
+from ..tables import Scratch, size_checked
 from .arrow import list_array, map_arrow
 from .page_markup import Line, aligned, segments
 
 WINDOW, SURGE = 3, 0.5
-FURNITURE_PAGES = 3
+FURNITURE_PAGES, FURNITURE_SHARE = 3, 0.02  # of one source's pages; the first is the least number that says anything
+MOST_SITES = 1_000_000
 # Words that open bylines, dates, prompts, comments and lists of related items, in three languages.
 _BYLINE = regex.compile(r"^(?:by|written by|words|text|from|von|geschrieben von|por|escrito por|published|updated|filed under|posted|veröffentlicht|publicado|listen to|abgelegt unter|archivado en)\b", regex.I)
 _DATE = regex.compile(r"\b\d{1,2}\.\d{1,2}\.\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d+ min\b", regex.I)
@@ -196,7 +197,7 @@ class Page:
         return run
 
 
-PAGES = "id string, cases array<int>, doubtful array<int>, doubtful_keys array<long>, furniture array<long>"
+PAGES = "id string, site string, cases array<int>, doubtful array<int>, doubtful_keys array<long>, furniture array<long>"
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def judged(pages: DataFrame) -> DataFrame:
         def column(rows, kind):
             return list_array(np.concatenate(rows) if rows else np.empty(0, np.int64), np.fromiter(map(len, rows), np.int64, len(rows)), kind)
 
-        return {"id": part.column(0), "cases": column(cases, pa.int32()), "doubtful": column(doubtful, pa.int32()), "doubtful_keys": column(keys, pa.int64()), "furniture": column(furniture, pa.int64())}
+        return {"id": part.column(0), "site": [s or "" for s in cols[4]], "cases": column(cases, pa.int32()), "doubtful": column(doubtful, pa.int32()), "doubtful_keys": column(keys, pa.int64()), "furniture": column(furniture, pa.int64())}
 
     return map_arrow(pages.select(F.col("id").cast("string").alias("id"), "text", "markup", "title", "source", "author"), PAGES, "text", make)
 
@@ -228,9 +229,11 @@ def judged(pages: DataFrame) -> DataFrame:
 def furniture_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """id and line_no (from 0) of every line that isn't main body."""
     found = scratch.cut(judged(pages.filter("id is not null")))
-    common = found.select("id", F.explode("furniture").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("pages")).filter(F.col("pages") >= FURNITURE_PAGES).select("key")
-    doubt = found.select("id", F.explode(F.arrays_zip(F.col("doubtful").alias("line_no"), F.col("doubtful_keys").alias("key"))).alias("d")).select("id", F.col("d.line_no").alias("line_no"), F.col("d.key").alias("key"))
-    more = doubt.join(common, "key", "left_semi").select("id", "line_no")
+    sizes = found.groupBy("site").agg(F.count(F.lit(1)).alias("all"))
+    counted = found.select("site", "id", F.explode("furniture").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("pages"))  # a page tells a key once
+    common = counted.join(size_checked(sizes, MOST_SITES), "site").filter((F.col("pages") >= FURNITURE_PAGES) & (F.col("pages") >= FURNITURE_SHARE * F.col("all"))).select("site", "key")
+    doubt = found.select("id", "site", F.explode(F.arrays_zip(F.col("doubtful").alias("line_no"), F.col("doubtful_keys").alias("key"))).alias("d")).select("id", "site", F.col("d.line_no").alias("line_no"), F.col("d.key").alias("key"))
+    more = doubt.join(common, ["site", "key"], "left_semi").select("id", "line_no")
     return found.select("id", F.explode("cases").alias("line_no")).unionByName(more).distinct()
 
 
