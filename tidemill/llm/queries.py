@@ -230,6 +230,39 @@ with long as (select doc_id, text, length(text) n from documents where length(te
 places as (select doc_id, text, unnest(range(1, n - 198)) i from long),
 windows as (select distinct doc_id, md5(substring(text, i, 200)) h from places)
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from windows a join windows b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p9_shared": """
+with long as (select doc_id, text, length(text) n from documents where length(text) >= 200),
+windows as (select doc_id, i, md5(substring(text, i, 200)) h from (select doc_id, text, unnest(range(1, n - 198)) i from long)),
+common as (select h from windows group by h having count(distinct doc_id) > 1),
+starts as (select distinct doc_id, i from windows where h in (select h from common)),
+spans as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) c from starts),
+sums as (select doc_id, sum(c) shared from spans group by 1), sizes as (select doc_id, max(coalesce(length(text), 0)) chars from documents where doc_id is not null group by 1)
+select doc_id, cast(chars as int) as chars, cast(coalesce(shared, 0) as bigint) as shared_chars, case when chars > 0 then coalesce(shared, 0) / chars::double else 0.0 end as shared_share from sizes left join sums using (doc_id)""",
+    "p3_groups": r"""
+with recursive ids as (select distinct article_id id from extracted_articles where article_id is not null),
+texts as (select article_id id, arg_max(text, extracted_at) t from extracted_articles where text is not null and article_id is not null group by article_id),
+words as (select id, regexp_extract_all(lower(replace(t, 'İ', 'i' || chr(775))), '[\p{L}\p{N}]+') w from texts),
+bag as (select id, x, count(*) n from (select id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) x from words where len(w) >= 5) group by all),
+keyed as (select id, md5(string_agg(x || ':' || n, '|' order by x)) k, sum(n) size from bag group by id),
+reps as (select k, min(id) rep, count(*) copies, any_value(size) size from keyed group by k),
+mine as (select b.* from bag b join reps r on r.rep = b.id),
+common as (select a.id a, b.id b, sum(least(a.n, b.n)) m from mine a join mine b on a.x = b.x and a.id < b.id group by all),
+near as (select c.a, c.b from common c join reps p on p.rep = c.a join reps q on q.rep = c.b where m >= 0.8 * (p.size + q.size - m)),
+edges as (select a, b from near union all select b, a from near),
+reach as (select rep id, rep r from reps union select reach.id, e.b from reach join edges e on e.a = reach.r),
+groups as (select id rep, min(r) g from reach group by id),
+linked as (select e.a rep, sum(q.copies) links from edges e join reps q on q.rep = e.b group by e.a)
+select i.id as article_id, coalesce(r.rep, i.id) as class_id, coalesce(g.g, i.id) as group_id, cast(coalesce(l.links, 0) as bigint) as links
+from ids i left join keyed k on k.id = i.id left join reps r on r.k = k.k left join groups g on g.rep = r.rep left join linked l on l.rep = r.rep""",
+    "p4_neighbours": """
+with usable as (
+  select article_id, arg_max(list_transform(vec_values, lambda x: x::double), created_at) v from article_embeddings
+  where embedding_version = 'emb-v2' and len(vec_values) = 384
+    and len(list_filter(vec_values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec_values, lambda x: x <> 0)) > 0
+  group by article_id),
+scored as (select a.article_id a, b.article_id b, round(list_cosine_similarity(a.v, b.v), 12) c from usable a join usable b on a.article_id <> b.article_id),
+placed as (select a, b, c, row_number() over (partition by a order by c desc, b) place from scored)
+select a as article_id, b as neighbour_id, round(c, 6) as cosine from placed where place <= 5""",
     "p4_found": """
 with usable as (
   select article_id, arg_max(list_transform(vec_values, lambda x: x::double), created_at) v from article_embeddings
