@@ -37,7 +37,7 @@ LEAST, WINDOW = 200, 64
 LEAST_BITS, MOST_BITS, SEGMENTS, FAN = 16, 28, 256, 64
 FLUSH = 1 << 21
 FEW = 32
-MOST_BROADCAST = 50_000
+MOST_BROADCAST, MOST_BYTES = 200_000, 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so its powers have inverses modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -196,25 +196,25 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, id: str = "doc_id",
 
     narrow = scratch.cut(map_arrow(chosen, T.StructType([chosen.schema["id"], *T.StructType.fromDDL("hash long, place int").fields]), "text", places))
     repeated = narrow.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("hash")
-    held = narrow.join(repeated, "hash").groupBy("id").agg(F.collect_set(F.struct("place", "hash")).alias("windows"))
-    held = scratch.cut(held)
-    texts = chosen.join(size_checked(held, MOST_BROADCAST), "id")
+    held = narrow.join(repeated, "hash").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("w"))
+    # Two plain arrays are a third of an array of structs when they are broadcast.
+    held = scratch.cut(held.select("id", F.transform("w", lambda w: w["place"]).alias("places"), F.transform("w", lambda w: w["hash"]).alias("hashes")))
+    texts = chosen.join(size_checked(held, MOST_BROADCAST, MOST_BYTES), "id")
 
     def surroundings(part: pa.RecordBatch) -> dict:
         rows, hashes_out, places_out, left, right = [], [], [], [], []
-        for row, (text, windows) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-            for w in windows if text else ():
-                p = w["place"]
+        for row, (text, at, hashes) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
+            for p, h in zip(at, hashes) if text else ():
                 if p + window <= len(text):
                     rows.append(row)
-                    hashes_out.append(w["hash"])
+                    hashes_out.append(h)
                     places_out.append(p)
                     left.append(text[max(0, p - around) : p])
                     right.append(text[p : p + window + around])
         return {"id": part.column(0).take(pa.array(rows, pa.int64())), "hash": hashes_out, "place": places_out, "left": left, "right": right}
 
     schema = T.StructType([chosen.schema["id"], *T.StructType.fromDDL("hash long, place int, left string, right string").fields])
-    return scratch.cut(map_arrow(texts.select("id", "text", "windows"), schema, "text", surroundings))
+    return scratch.cut(map_arrow(texts.select("id", "text", "places", "hashes"), schema, "text", surroundings))
 
 
 @F.pandas_udf(T.StructType([T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())]))
