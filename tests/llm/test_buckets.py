@@ -13,7 +13,7 @@ def test_crowded_buckets_give_the_same_pairs(spark, monkeypatch, few, block):
     base = rng.integers(0, 256, (6, 8)).astype(np.uint8)
     signs = {f"i{k:03d}": np.where(rng.random(8) < 0.3, rng.integers(0, 256, 8), base[k % 6]).astype(np.uint8) for k in range(90)}
     bands = [(b, i) for b in range(3) for i in signs if b == 0 or hash((b, i)) % 9 == 0 or i < "i004"]
-    got = buckets.pairs(spark.createDataFrame(bands, "band int, id string"), spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in signs.items()], "id string, signature binary"), 8, 0.6)
+    got = buckets.pairs(spark.createDataFrame(bands, "band int, id string"), spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in signs.items()], "id string, signature binary"), 8, 0.6, Scratch(spark, "t"))
     keys = sorted(signs)
     want = {(a, b) for k, a in enumerate(keys) for b in keys[k + 1 :] if (signs[a] == signs[b]).mean() >= 0.6}
     rows = [tuple(r) for r in got.collect()]

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..tables import Scratch
+
 FEW, BLOCK = 24, 256
 
 
@@ -48,14 +50,14 @@ def compared(registers: int, least: float, kind: str):
     return compare
 
 
-def pairs(banded: DataFrame, signatures: DataFrame, registers: int, least: float, fits=None) -> DataFrame:
+def pairs(banded: DataFrame, signatures: DataFrame, registers: int, least: float, scratch: Scratch, fits=None) -> DataFrame:
     """a < b, once each, of all ids that share a band and agree on a share `least` of their registers.
 
     `banded`: band, id; `signatures`: id, signature, and what `fits(a row's columns with suffix _a, _b)` needs.
     """
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1")
+    shared = scratch.cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1"))
     twos = shared.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    several = banded.join(shared.filter("n > 2").select("band", "n"), "band")
+    several = scratch.cut(banded.join(shared.filter("n > 2").select("band", "n"), "band"))
     few = several.filter(F.col("n") <= FEW)
     met = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").filter("a < b").select("a", "b")
     sides = [signatures.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in signatures.columns]) for side in "ab"]

@@ -220,7 +220,7 @@ def classes(records: DataFrame, scratch: Scratch, setup: Setup) -> Classes:
     alike = lambda: F.least("size_a", "size_b") >= s * F.greatest("size_a", "size_b")
     s = setup.similarity
     slack = 5 * float(np.sqrt(s * (1 - s) / setup.registers))
-    near = scratch.cut(buckets.pairs(banded, chosen.select("id", "size", "signature"), setup.registers, s - slack, alike))
+    near = scratch.cut(buckets.pairs(banded, chosen.select("id", "size", "signature"), setup.registers, s - slack, scratch, alike))
 
     involved = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     latest = records.join(involved, "id", "left_semi")

@@ -189,7 +189,7 @@ def links(articles: DataFrame, lines: DataFrame, nodes: DataFrame, scratch: Scra
 
     bands = F.array(*[F.xxhash64("source_id", F.lit(b), F.substring("signature", b * BAND_ROWS + 1, BAND_ROWS)) for b in range(BANDS)])
     banded = nodes.select(F.explode(bands).alias("band"), F.col("node").alias("id"))
-    met = scratch.cut(buckets.pairs(banded, nodes.select(F.col("node").alias("id"), "signature"), SIGNATURE, LEAST_AGREEMENT))
+    met = scratch.cut(buckets.pairs(banded, nodes.select(F.col("node").alias("id"), "signature"), SIGNATURE, LEAST_AGREEMENT, scratch))
     involved = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
     examples = scratch.cut(nodes.join(involved, "node", "left_semi").select("example.article_id", "node", "example.place"))
     sets = scratch.cut(shingle_sets(articles, examples))
