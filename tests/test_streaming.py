@@ -52,3 +52,16 @@ def test_sessions(spark, data, folder):
     schema = read(spark, data, "events").schema
     live = run(flows.sessions(flows.read_events(spark, folder, schema), "user_id", "ts", "2 hours"), "sessions", "complete")
     assert live.agg(F.sum("rows")).first()[0] == read(spark, data, "events").count()
+
+
+def test_pushed_mail_is_parsed_once(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    mails = [dict(message_id="m1", source_id="s", subject="A", text_body="t", from_address="a@x.example", received_at="2026-01-01 10:00:00"), dict(message_id="m1", source_id="s", subject="A", text_body="t", from_address="a@x.example", received_at="2026-01-01 11:00:00"), dict(message_id="m2", source_id="s", subject=" ", text_body="t", received_at="2026-01-01 12:00:00"), dict(message_id="m3", source_id="s", subject="C", html_body="<p>x</p>", received_at="2026-01-01 12:00:00")]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, mails)))
+    schema = "message_id string, source_id string, subject string, author string, published_at string, html_body string, text_body string, canonical_url string, from_address string, to_address string, received_at string"
+    from pyspark.sql.types import StructType
+
+    got = run(flows.pushed_articles(spark, str(tmp_path / "in"), StructType.fromDDL(schema)), "pushed")
+    assert sorted((r["message_id"], r["canonical_url"], r["text"]) for r in got.collect()) == [("m1", "https://x.example/mail/m1", "t"), ("m3", "https://mail.invalid/mail/m3", "x")]

@@ -56,3 +56,9 @@ def health_window(now: Column) -> Column:
     today = F.to_date(local)
     since = at_civil_minute(F.when(minutes < 420, F.date_sub(today, 1)).otherwise(today), 390)
     return F.struct(today.alias("day"), minutes.alias("minutes"), F.when(minutes < 360, F.date_sub(today, 1)).otherwise(today).alias("expected"), ((minutes >= 360) & (minutes < 390)).alias("grace"), since.alias("check_since"))
+
+
+def sniffed_month(text: Column) -> Column:
+    """The first day of the first month a text names with its year in English; null where it names none."""
+    found = F.regexp_extract(text, r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})\b", 1)
+    return F.to_date(F.try_to_timestamp(F.concat(F.regexp_replace(F.nullif(found, F.lit("")), r"\s+", " "), F.lit(" 1")), F.lit("MMMM yyyy d")))

@@ -42,3 +42,9 @@ def quoted(text: Column, quote: Column) -> Column:
     """Whether the text has the quote, white space aside; of a quote of 40 characters and more its first 80 suffice."""
     bare = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     return _sure(F.contains(bare(text), bare(quote)) | ((F.length(quote) >= 40) & F.contains(bare(text), F.substring(bare(quote), 1, 80))))
+
+
+def under(key: Column, name: str) -> Column:
+    """Whether a key is the name or begins with it and a colon, in any case."""
+    low = F.lower(key)
+    return _sure((low == name.lower()) | low.startswith(name.lower() + ":"))

@@ -383,8 +383,10 @@ select n as url, keeper, c as spellings, cast(sum(case when id <> keeper then 1
 def q31_url_keeper(spark, d):
     """The row to keep of every address, and how many spellings and other ids it has."""
     rows = _spelled(spark, d).withColumn("n", urls.normalized_url(F.col("url"))).filter("n is not null")
-    kept = rel.keepers(rows, "n", [F.col("quality").desc_nulls_last(), F.col("kind").asc(), F.col("id").asc()], "id")
-    return kept.groupBy(F.col("n").alias("url"), "keeper").agg(F.count(F.lit(1)).alias("spellings"), F.sum((F.col("id") != F.col("keeper")).cast("int")).alias("losers"))
+    best = F.struct(F.col("quality").isNull(), -F.col("quality"), "kind")
+    by_id = rows.groupBy("n", "id").agg(F.count(F.lit(1)).alias("c"), F.min(best).alias("o"))  # combined before each shuffle
+    kept = by_id.groupBy("n").agg(F.sum("c").alias("spellings"), F.min(F.struct("o", "id", "c")).alias("k"))
+    return kept.select(F.col("n").alias("url"), F.col("k.id").alias("keeper"), "spellings", (F.col("spellings") - F.col("k.c")).alias("losers"))
 
 
 @query("""
@@ -496,7 +498,16 @@ def q43_theme_classifier(spark, d):
     return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.col("t.primary").alias("primary_theme"), F.array_join("t.more", ",").alias("more"))
 
 
-@query()
+@query(r"""
+with recursive t as (select doc_id, text, string_split(text, '') c, length(text) n from documents where text is not null),
+e as (select doc_id, text, n, list_filter(range(1, n + 1), lambda i: c[i] = chr(10) or (c[i] = '.' and c[i + 1] = ' ')) ends from t),
+b as (
+  select doc_id, 0 k, 0::bigint start, least(1400, n) hard, n, ends from e
+  union all
+  select doc_id, k + 1, greatest(start + 1, stop - 100), least(greatest(start + 1, stop - 100) + 1400, n), n, ends from (
+    select *, case when hard < n and coalesce(list_max(list_filter(ends, lambda x: x <= hard + 1)), 0) - 1 > start + 1400 * 0.55::double then list_max(list_filter(ends, lambda x: x <= hard + 1)) else hard end stop from b) where stop < n),
+f as (select *, case when hard < n and coalesce(list_max(list_filter(ends, lambda x: x <= hard + 1)), 0) - 1 > start + 1400 * 0.55::double then list_max(list_filter(ends, lambda x: x <= hard + 1)) else hard end stop from b)
+select f.doc_id, cast(k as int) as place, substring(e.text, cast(start + 1 as int), cast(stop - start as int)) as chunk from f join e using (doc_id)""")
 def q44_chunks(spark, d):
     """Overlapping chunks of every text, with their places."""
     return read(spark, d, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"), 1400, 100, 0.55)).alias("place", "chunk"))

@@ -303,3 +303,63 @@ def q46_sitemap_newest(spark, d):
     maps = top.groupBy("source_id").agg(feeds.sitemap(F.transform(F.array_sort(F.collect_list(F.struct("n", url.alias("u")))), lambda s: s["u"])).alias("xml"))
     origin = F.concat(F.lit("https://"), "source_id", F.lit(".example"))
     return maps.select("source_id", F.explode(feeds.sitemap_links(F.col("xml"), origin)).alias("url"))
+
+
+# ---- the rest of the reading path ------------------------------------------------------------------------------------
+
+@query(f"""
+with p as (select id, analyzed_at, {hexed_sql("id", 1)} % 5 k, {hexed_sql("id", 3)} % 5 tries from (select *, row_number() over (partition by id order by analyzed_at desc nulls last, loaded_at desc) rn from ready_articles where id is not null) where rn = 1)
+select id, case k when 1 then 'analysis_failed' else 'discovered' end as status, cast(row_number() over (order by case k when 1 then 0 else 1 end, analyzed_at nulls first, id) as int) as place,
+  coalesce(epoch_us(analyzed_at) + case k when 1 then 7 else 90 end * 86400000000, -1) as expires_us from p where k in (0, 1) and not (k = 1 and tries >= 3) qualify place <= 50""")
+def q81_pending_order(spark, d):
+    """Fifty articles to work on next: failed ones with retries left first, then new ones, the longest waiting first; and
+    when their bodies expire."""
+    last = rel.latest(read(spark, d, "ready_articles").select("id", "analyzed_at", "loaded_at"), "id", [F.col("analyzed_at"), F.col("loaded_at")])
+    digit = lambda n: F.conv(F.substring("id", n, 1), 16, 10).cast("int") % 5
+    rows = last.select("id", "analyzed_at", digit(1).alias("k"), digit(3).alias("tries")).filter("k in (0, 1) and not (k = 1 and tries >= 3)")
+    order = [F.when(F.col("k") == 1, 0).otherwise(1), F.col("analyzed_at").asc_nulls_first(), F.col("id")]
+    top = rows.orderBy(*order).limit(50).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))  # fifty rows
+    days = F.when(F.col("k") == 1, 7).otherwise(90)
+    return top.select("id", F.when(F.col("k") == 1, "analysis_failed").otherwise("discovered").alias("status"), "place", F.coalesce(micros("analyzed_at") + days * 86_400_000_000, F.lit(-1)).alias("expires_us"))
+
+
+@query("""
+with a as (select case when event_id % 3 = 0 then 'Source-Failed:' || user_id when event_id % 3 = 1 then 'source-failed:' || user_id || ':' || cast(ts as date) else 'stalled' end key, event_type t, epoch_us(ts) u from events)
+select t as kind, count(*) as rows, cast(sum(case when key ilike 'source-failed:7' or key ilike 'source-failed:7:%' then 1 else 0 end) as bigint) as resolved, max(case when key ilike 'source-failed:%' then u end) as last_us from a group by t""")
+def q82_resolved_by_prefix(spark, d):
+    """Alerts of one source, by their key or a key that begins with it and a colon, in any case; counts by kind."""
+    rows = read(spark, d, "events").select("event_type", micros("ts").alias("u"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Source-Failed:"), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.concat_ws(":", F.lit("source-failed"), F.col("user_id").cast("string"), F.to_date("ts").cast("string"))).otherwise("stalled").alias("key"))
+    mine = va.under(F.col("key"), "source-failed:7")
+    return rows.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.sum(mine.cast("int")).alias("resolved"), F.max(F.when(F.lower("key").startswith("source-failed:"), F.col("u"))).alias("last_us"))
+
+
+@query(r"""
+with m as (select message_id, from_address, canonical_url c, row_number() over (partition by message_id order by received_at desc, coalesce(from_address, '') desc) rn from email_payloads where message_id is not null),
+s as (select message_id, lower(regexp_extract(coalesce(from_address, ''), '@([A-Za-z0-9.-]+)$', 1)) host, substring(regexp_replace(regexp_replace(trim(message_id), '[^a-zA-Z0-9._@+-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 180) slug, nullif(trim(c), '') c from m where rn = 1)
+select message_id, 'https://' || case when host = '' then 'mail.invalid' else host end || '/mail/' || case when slug = '' then 'unknown' else slug end as address, c is not null as has_own from s""")
+def q84_mail_addresses(spark, d):
+    """The address a message without one gets from its sender's host and its id."""
+    mail = read(spark, d, "email_payloads").filter("message_id is not null").groupBy("message_id").agg(F.max_by(F.struct("from_address", "canonical_url"), F.struct("received_at", F.coalesce("from_address", F.lit("")))).alias("r")).select("message_id", "r.*")
+    made = feeds.mail_address(F.col("message_id"), F.coalesce("from_address", F.lit("")))
+    return mail.select("message_id", made.alias("address"), F.nullif(F.trim("canonical_url"), F.lit("")).isNotNull().alias("has_own"))
+
+
+@query(r"""
+with t as (select doc_id, coalesce(text, '') t from documents)
+select distinct doc_id, case when length(t) <= 120 then t when regexp_extract(substring(t, 1, 120), '(?s)^(.*[.!?。！？；])', 1) <> '' then regexp_extract(substring(t, 1, 120), '(?s)^(.*[.!?。！？；])', 1) else substring(t, 1, 120) end as short from t""")
+def q85_cut_sentences(spark, d):
+    """Texts of at most 120 characters that end with a sentence where one ends in them."""
+    return read(spark, d, "documents").select("doc_id", tx.cut_at_punctuation(F.coalesce("text", F.lit("")), 120).alias("short")).distinct()
+
+
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+@query(rf"""
+with p as (select article_id, title, inline_html h, text t, row_number() over (partition by article_id order by discovered_at desc, coalesce(title, '') desc) rn from discovered_articles where article_id is not null),
+q as (select article_id, coalesce(title, '') given, regexp_extract(coalesce(h, ''), '(?is)<meta[^>]*(?:property|name)\s*=\s*["'']og:title["''][^>]*content\s*=\s*["'']([^"'']*)["'']', 1) og, regexp_extract(coalesce(t, '') || ' May 2019', '\b({_MONTHS})\s+(\d{{4}})\b', 0) d from p where rn = 1)
+select article_id, og <> '' as has_og, given, strftime(try_strptime(regexp_replace(d, '\s+', ' ', 'g') || ' 1', '%B %Y %d'), '%Y-%m-%d') as sniffed from q""")
+def q83_page_titles(spark, d):
+    """Whether a page names its title itself, the title given, and the first month and year its text tells."""
+    p = read(spark, d, "discovered_articles").filter("article_id is not null").groupBy("article_id").agg(F.max_by(F.struct("title", F.coalesce("inline_html", F.lit("")).alias("h"), F.coalesce("text", F.lit("")).alias("t")), F.struct("discovered_at", F.coalesce("title", F.lit("")))).alias("r")).select("article_id", "r.*")
+    return p.select("article_id", (F.coalesce(tx.meta(F.col("h"), "og:title"), F.lit("")) != "").alias("has_og"), F.coalesce("title", F.lit("")).alias("given"), dates.sniffed_month(F.concat("t", F.lit(" May 2019"))).cast("string").alias("sniffed"))

@@ -82,15 +82,20 @@ def page_links(pages: DataFrame, markup: str, url: str, *keep: str) -> DataFrame
     return out.filter("href is not null")
 
 
+def mail_address(id: Column, sender: Column) -> Column:
+    """An address made of the sender's host and the message's id."""
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.trim(id), r"[^a-zA-Z0-9._@+-]+", "-"), r"^-+|-+$", ""), 1, 180)
+    host = F.regexp_extract(F.coalesce(sender, F.lit("")), r"@([A-Za-z0-9.-]+)$", 1)
+    return F.concat(F.lit("https://"), F.when(host == "", "mail.invalid").otherwise(F.lower(host)), F.lit("/mail/"), F.when(slug == "", "unknown").otherwise(slug))
+
+
 def parsed_mail(mail: DataFrame) -> DataFrame:
     """Pushed mail as articles: address (given or made from the id), title, author, date, text and an error code.
 
     Codes: missing_source, missing_message_id, missing_subject, missing_body; null where all is there.
     """
     blank = lambda c: F.coalesce(normalized(F.col(c)), F.lit("")) == ""
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.trim("message_id"), r"[^a-zA-Z0-9._@+-]+", "-"), r"^-+|-+$", ""), 1, 180)
-    host = F.regexp_extract("from_address", r"@([A-Za-z0-9.-]+)$", 1)
-    made = F.concat(F.lit("https://"), F.when(host == "", "mail.invalid").otherwise(F.lower(host)), F.lit("/mail/"), F.when(slug == "", "unknown").otherwise(slug))
+    made = mail_address(F.col("message_id"), F.col("from_address"))
     error = F.when(blank("source_id"), "missing_source").when(blank("message_id"), "missing_message_id").when(blank("subject"), "missing_subject").when(blank("text_body") & blank("html_body"), "missing_body")
     return mail.select(
         "message_id",
