@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.hashing import fnv1a, fnv1a_any
+from ..functions.hashing import WORD, fnv1a
 from ..functions.vectors import let, unit
 from .ranking import WEIGHTS, weighted_score
 
+BASIS, PRIME = 2166136261, np.uint64(16777619)
+
 
 def hashed_category(value: Column, dimensions: int) -> Column:
     """A signed one-hot array of the lower-cased value."""
@@ -99,22 +101,67 @@ def rule_analysis(df: DataFrame, text: str) -> DataFrame:
     return scored.withColumn("intrinsic_score", weighted_score()).withColumn("strongest", strongest)
 
 
+class WordHashes:
+    """FNV-1a of the words of a batch and of their pairs, all words of one length at a time."""
+
+    def __init__(self, words: list[str]):
+        self.of: dict[str, int] = {}
+        for w in words:
+            self.of.setdefault(w, len(self.of))
+        units = [np.frombuffer(w.encode("utf-16-le"), dtype=np.uint16) for w in self.of]
+        self.lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.units = np.concatenate(units).astype(np.uint64) if units else np.empty(0, dtype=np.uint64)
+
+    def hashed(self, ids: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+        """The hashes of some words, going on from a state."""
+        state = np.full(len(ids), BASIS, dtype=np.uint64) if state is None else state.copy()
+        lengths, starts = self.lengths[ids], self.starts[ids]
+        live, k = np.arange(len(ids)), 0
+        while True:
+            live = live[lengths[live] > k]
+            if not len(live):
+                return state
+            state[live] = ((state[live] ^ self.units[starts[live] + k]) * PRIME) & np.uint64(WORD)
+            k += 1
+
+    def paired(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The hashes of the pairs `first_second`; each distinct pair is hashed once."""
+        pairs, back = np.unique(first * len(self.of) + second, return_inverse=True)
+        head = self.hashed(np.arange(len(self.of)))
+        joined = ((head ^ np.uint64(ord("_"))) * PRIME) & np.uint64(WORD)
+        return self.hashed(pairs % len(self.of), joined[pairs // len(self.of)])[back]
+
+
 def feature_hash_embedding(df: DataFrame, id: str, title: str, text: str, dimensions: int) -> DataFrame:
     """id and the unit vector of hashed words (the title twice) and word pairs; all-zero where there are no words.
 
-    Words and pairs are counted per text before they are hashed, so each distinct one is hashed once a text. Texts within
-    the basic plane stay in expressions of the JVM; the rest take a vectorised function for their tokens.
+    Arrow batches: words are found text by text, hashed and summed for the whole batch at once.
     """
-    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
-    words = df.select(F.col(id), F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1)).alias("_w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.struct(F.concat(F.get("_w", i - 1), F.lit("_"), F.get("_w", i)).alias("t"), F.lit(0.6).alias("k")))
-    tokens = F.concat(F.transform("_w", lambda w: F.struct(w.alias("t"), F.lit(1.0).alias("k"))), F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<struct<t:string,k:double>>")))
-    counted = words.select(id, F.explode(tokens).alias("_t")).groupBy(id, F.col("_t.t").alias("t"), F.col("_t.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    h = fnv1a_any(F.col("t"))
-    sums = counted.select(id, "k", "n", h.alias("h")).groupBy(id, (F.col("h") % dimensions).cast("int").alias("_p")).agg(F.sum(F.when(F.col("h").bitwiseAND(F.lit(0x80000000)) == 0, F.col("k")).otherwise(-F.col("k")) * F.col("n")).alias("_s"))
-    maps = sums.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_s"))).alias("_m"))  # at most `dimensions` entries
-    vec = unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))))
-    return df.select(id).distinct().join(maps, id, "left").select(id, F.coalesce(vec, F.array_repeat(F.lit(0.0), dimensions)).alias("vec"))
+    import regex
+
+    schema = T.StructType([df.schema[id], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        word = regex.compile(r"[\p{L}\p{N}]{2,}")
+        for frame in batches:
+            found = [word.findall(f"{a or ''} {a or ''} {b or ''}".lower()) for a, b in zip(frame["_a"], frame["_b"])]
+            words = [w for f in found for w in f]
+            sums = np.zeros(len(found) * dimensions)
+            if words:
+                table = WordHashes(words)
+                ids = np.fromiter(map(table.of.__getitem__, words), dtype=np.int64, count=len(words))
+                doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                inner = np.flatnonzero(doc[1:] == doc[:-1])
+                for h, at, weight in ((table.hashed(np.arange(len(table.of)))[ids], doc, 1.0), (table.paired(ids[inner], ids[inner + 1]), doc[inner], 0.6)):
+                    sign = np.where(h & np.uint64(0x80000000), -1.0, 1.0)
+                    # Whole numbers are summed, so the order of words doesn't show.
+                    sums += weight * np.bincount(at * dimensions + (h % np.uint64(dimensions)).astype(np.int64), sign, len(sums))
+            grid = sums.reshape(len(found), dimensions)
+            norms = np.linalg.norm(grid, axis=1, keepdims=True)
+            yield pd.DataFrame({id: frame[id], "vec": list(grid / np.where(norms > 0, norms, 1.0))})
+
+    return df.select(id, F.col(title).alias("_a"), F.col(text).alias("_b")).mapInPandas(run, schema)
 
 
 def literals(pattern: str) -> tuple[list[str], list[str]]:

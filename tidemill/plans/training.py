@@ -88,18 +88,21 @@ def reactions(spark: SparkSession, d: str) -> DataFrame:
     return fb.all_feedback([(given("r-"), recommended, "public"), (given("s-"), simulated, "simulation")])
 
 
-def projections(spark: SparkSession, d: str) -> DataFrame:
-    return usable_vectors(spark, d).select("id", vectors.projected(F.col("vec"), 384).alias("projection"))
+def projections(spark: SparkSession, d: str, some: DataFrame | None = None) -> DataFrame:
+    """id and projection of every usable vector, or of some ids; only those are projected."""
+    vecs = usable_vectors(spark, d)
+    return (vecs if some is None else vecs.join(some, "id", "left_semi")).select("id", vectors.projected(F.col("vec"), 384).alias("projection"))
 
 
-def featured(spark: SparkSession, d: str) -> DataFrame:
-    """The articles that have all scores and a vector, with their features `x`."""
+def featured(spark: SparkSession, d: str, some: DataFrame | None = None) -> DataFrame:
+    """The articles (or some ids of them) that have all scores and a vector, with their features `x`."""
     arts = articles(spark, d).filter(F.forall(F.array(*SCORES), lambda x: x.isNotNull()) & F.col("word_count").isNotNull())
-    return arts.join(projections(spark, d), "id").withColumn("x", learning.article_features(F.col("projection"), SCORES))
+    return arts.join(projections(spark, d, some), "id").withColumn("x", learning.article_features(F.col("projection"), SCORES))
 
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    return featured(spark, d).join(fb.labelled(fb.latest_feedback(reactions(spark, d))).withColumnRenamed("article_id", "id"), "id")
+    labels = fb.labelled(fb.latest_feedback(reactions(spark, d))).withColumnRenamed("article_id", "id")
+    return featured(spark, d, labels.select("id")).join(labels, "id")
 
 
 def model(spark: SparkSession, d: str) -> tuple[np.ndarray, int]:
@@ -107,18 +110,25 @@ def model(spark: SparkSession, d: str) -> tuple[np.ndarray, int]:
     return learning.ridge(xx, xy), n
 
 
+def few(df: DataFrame) -> DataFrame:
+    """Rows whose number is bounded by a limit, made once for the several joins that need them."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def slate_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The best of the gated pool with all parts of their score."""
     arts = articles(spark, d)
-    past = history(arts)
-    pool = gated(arts).orderBy(F.col("intrinsic").desc(), "id").limit(CANDIDATES)
-    vecs = projections(spark, d)
-    recent = past.orderBy(F.col("day").desc()).limit(RECENT).join(vecs, "id").select("projection").collect()  # at most RECENT rows
+    past = few(history(arts))  # a row a day of sixty
+    pool = few(gated(arts).orderBy(F.col("intrinsic").desc(), "id").limit(CANDIDATES).drop("secondary_themes"))
+    last = past.orderBy(F.col("day").desc()).limit(RECENT).select("id")
+    vecs = few(projections(spark, d, F.broadcast(pool.select("id").union(last))))  # no more than CANDIDATES + RECENT rows
+    recent = last.join(vecs, "id").collect()
     known = pool.join(vecs, "id", "left").withColumnRenamed("projection", "vec")
     signals = ranking.semantic_signals(known.select("id", "vec"), [list(r["projection"]) for r in recent], vectors.cosine)
     weights, n = model(spark, d)
-    fit = featured(spark, d).select("id", learning.personal_fit(F.col("x"), weights, learning.influence(n)).alias("personal_fit"))
-    full = known.drop("vec").join(signals.drop("similarity"), "id").join(fit, "id", "left").withColumn("personal_fit", F.coalesce("personal_fit", F.lit(0.0)))
+    complete = F.forall(F.array(*SCORES), lambda x: x.isNotNull()) & F.col("word_count").isNotNull() & F.col("vec").isNotNull()
+    fit = learning.personal_fit(learning.article_features(F.col("vec"), SCORES), weights, learning.influence(n))
+    full = known.withColumn("personal_fit", F.when(complete, fit).otherwise(0.0)).drop("vec").join(F.broadcast(signals.drop("similarity")), "id")
     return ranking.ranked(full, past, now())
 
 
@@ -172,7 +182,8 @@ def q13_model_registry(spark, d):
     """Runs at several instants: a model is fitted anew if its samples changed, and only the newest is active."""
     runs = spark.createDataFrame([(i, dt.datetime.fromisoformat(c + "+00:00")) for i, c in enumerate(CUTS)], "run int, as_of timestamp")
     upto = reactions(spark, d).join(F.broadcast(runs), F.col("created_at") <= F.col("as_of"))  # a handful of runs
-    rows = fb.labelled(fb.latest_feedback(upto, "run")).join(featured(spark, d).select(F.col("id").alias("article_id")), "article_id")
+    labels = fb.labelled(fb.latest_feedback(upto, "run"))
+    rows = labels.join(featured(spark, d, labels.select(F.col("article_id").alias("id"))).select(F.col("id").alias("article_id")), "article_id")
     counted = rows.groupBy("run").agg(F.count(F.lit(1)).alias("samples"), F.max("created_at").alias("through"))
     return fb.registry(counted).withColumn("through", micros("through")).withColumnRenamed("through", "trained_through_us")
 
