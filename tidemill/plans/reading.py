@@ -190,24 +190,20 @@ def q74_feed_scan(spark, d):
     return ad.first_listed(ad.accepted_items(listed, settings), "page", "n").select("source_id", "link", "page", "title")
 
 
-_ONE_SOURCE = "(select min(source_id) from discovered_articles)"
-
-
 @query(f"""
-with one as (select article_id, min(coalesce(title, '')) title from discovered_articles where source_id = {_ONE_SOURCE} group by 1),
-urls as (select article_id, regexp_replace(trim(title), '[ \\t]+', ' ', 'g') title, case {hexed_sql("article_id", 1)} % 4 when 0 then '/blog/' || article_id || '?ref=x' when 1 then 'https://index.example/blog/' || article_id || '#top' when 2 then '/podcast/' || article_id else 'https://other.example/blog/' || article_id end href from one)
-select 'https://index.example/blog/' || article_id as link, title from urls where {hexed_sql("article_id", 1)} % 4 < 2 and title <> ''""")
+with one as (select source_id, article_id, regexp_replace(trim(min(coalesce(title, ''))), '[ \\t]+', ' ', 'g') title from discovered_articles where source_id is not null and article_id is not null group by 1, 2)
+select source_id, 'https://index.example/blog/' || article_id as link, title from one where {hexed_sql("article_id", 1)} % 4 < 2 and title <> ''""")
 def q75_index_scan(spark, d):
-    """An index page's articles: relative and absolute links, without query and fragment, no podcasts, on the host only."""
-    rows = read(spark, d, "discovered_articles")
-    first = rows.agg(F.min("source_id").alias("source_id"))
-    one = rows.join(F.broadcast(first), "source_id").groupBy("article_id").agg(F.min(F.coalesce("title", F.lit(""))).alias("title"))  # one row
+    """The articles of every source's index pages: relative and absolute links, without query and fragment, no podcasts, on
+    the host only."""
+    rows = read(spark, d, "discovered_articles").filter("source_id is not null and article_id is not null")
+    one = rows.groupBy("source_id", "article_id").agg(F.min(F.coalesce("title", F.lit(""))).alias("title"))
     k = F.conv(F.substring("article_id", 1, 1), 16, 10).cast("int") % 4
     href = F.when(k == 0, F.concat(F.lit("/blog/"), "article_id", F.lit("?ref=x"))).when(k == 1, F.concat(F.lit("https://index.example/blog/"), "article_id", F.lit("#top"))).when(k == 2, F.concat(F.lit("/podcast/"), "article_id")).otherwise(F.concat(F.lit("https://other.example/blog/"), "article_id"))
     anchor = F.concat(F.lit('<li><a class="t" href="'), href, F.lit('">'), tx.escaped(F.trim("title")), F.lit("</a></li>"))
-    pages = one.groupBy((F.hash("article_id") % 7).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(anchor)), "\n").alias("body")).withColumn("source_id", F.lit("index"))
+    pages = one.groupBy("source_id", F.pmod(F.hash("article_id"), F.lit(7)).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(anchor)), "\n").alias("body"))
     rules = ad.Source("index", "index", "https://index.example", segments=2, deny="^/(?:podcast|video|members)/")
-    return ad.index_links(pages, rules).select("link", "title")
+    return ad.index_links(pages, rules).select("source_id", "link", "title")
 
 
 @query(f"""
