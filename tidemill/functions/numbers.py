@@ -35,3 +35,8 @@ def floor_steps(x: Column, cuts: Sequence[tuple[float, float]], below: float) ->
 
 def reading_minutes(words: Column, rate: int = 230) -> Column:
     return F.greatest(F.lit(1), F.ceil(words / rate)).cast("int")
+
+
+def storage_level(used: Column, limit: Column) -> Column:
+    """How full a store is: a warning from 70 % on, critical from 85 % on."""
+    return F.when(used >= 0.85 * limit, "critical").when(used >= 0.7 * limit, "warning").otherwise("ok")

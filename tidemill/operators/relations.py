@@ -55,6 +55,13 @@ def keepers(df: DataFrame, key: str, order: Sequence[Column], id: str) -> DataFr
     return df.withColumn("place", F.row_number().over(w)).withColumn("keeper", F.first(id).over(w))
 
 
+def merged(df: DataFrame, key: str, order: Column, id: str) -> DataFrame:
+    """Every row with the id to keep of its key (least by `order`) and whether it is that one. The keeper is an aggregate
+    joined back, so a key with many rows is no sort in one task."""
+    first = df.groupBy(key).agg(F.min_by(id, order).alias("keeper"))
+    return df.join(first, key).withColumn("kept", F.col(id) == F.col("keeper"))
+
+
 def winners(df: DataFrame, slot: str, order: Sequence[Column]) -> DataFrame:
     """One winner per slot, first come first served; the rest are marked as lost."""
     least = df.groupBy(slot).agg(F.min(F.struct(*order)).alias("_best"))

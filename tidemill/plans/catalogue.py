@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates, hashing, text as tx, urls, vectors
-from ..functions.numbers import reading_minutes
+from ..functions.numbers import reading_minutes, storage_level
 from ..operators import events as ev, learning, planning, ranking, relations as rel
 from ..sources import feeds
 from ..tables import read, size_checked
@@ -302,13 +302,13 @@ def q24_status_pivot(spark, d):
 
 
 @query("""
-with s as (select coalesce(lang, '') as lang, coalesce(sum(strlen(text)), 0) bytes, count(*) texts from documents group by 1), t as (select sum(bytes) total from s)
-select lang, cast(bytes as bigint) as bytes, texts, case when bytes >= 0.5 * total then 'critical' when bytes >= 0.2 * total then 'warning' else 'ok' end as level from s, t""")
+with s as (select coalesce(lang, '') as lang, coalesce(sum(strlen(text)), 0) bytes, count(*) texts from documents group by 1), t as (select max(bytes) * 1.1::double room from s)
+select lang, cast(bytes as bigint) as bytes, texts, case when bytes >= 0.85 * room then 'critical' when bytes >= 0.7 * room then 'warning' else 'ok' end as level from s, t""")
 def q25_storage_usage(spark, d):
-    """Bytes by language and how they stand to the whole."""
+    """Bytes by language, and how full a store would be that has a tenth more room than the largest needs."""
     sums = read(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("texts"))
-    total = F.sum("bytes").over(W.partitionBy(F.lit(0)))  # a few rows
-    return sums.withColumn("level", F.when(F.col("bytes") >= 0.5 * total, "critical").when(F.col("bytes") >= 0.2 * total, "warning").otherwise("ok"))
+    room = F.max("bytes").over(W.partitionBy(F.lit(0))) * 1.1  # a few rows
+    return sums.withColumn("level", storage_level(F.col("bytes"), room))
 
 
 @query("""

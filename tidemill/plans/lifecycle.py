@@ -321,3 +321,27 @@ def q64_health_counts(spark, d):
     c = rows.groupBy("user_id").agg(kind("error").alias("failed"), kind("purchase").alias("done"), kind("view").alias("pending"), F.max(micros("ts")).alias("last_us")).crossJoin(rows.agg(F.max(micros("ts")).alias("z")))  # one row
     status = F.when(F.col("z") - F.col("last_us") > 30 * 86_400_000_000, "stale").when((F.col("failed") >= 3) & (F.col("failed") * 2 >= F.col("done") + F.col("failed")), "error").when((F.col("done") == 0) & (F.col("pending") > 0), "warning").otherwise("ok")
     return c.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("users"))
+
+
+@query("with " + FEEDBACK + """
+select article_id, kind, origin, epoch_us(created_at) as created_us, case when origin = 'simulation' and kind = 'later' then epoch_us(created_at) + 14 * 86400000000 else -1 end as retry_us from said""")
+def q86_simulation_feedback(spark, d):
+    """Every reaction with when its article may be shown again: two weeks after a simulated `later`."""
+    put_off = (F.col("origin") == "simulation") & (F.col("kind") == "later")
+    return reactions(spark, d).select("article_id", "kind", "origin", micros("created_at").alias("created_us"), F.when(put_off, micros("created_at") + 14 * 86_400_000_000).otherwise(-1).alias("retry_us"))
+
+
+@query("with " + ART + f""",
+a as (select id, 'https://' || source_id || '.example/p/' || substr(id, 1, 2) url, coalesce(intrinsic, -1.0) q from art where source_id is not null),
+r as (select *, row_number() over (partition by url order by q desc, id) place, first_value(id) over (partition by url order by q desc, id) keeper from a),
+v as (select article_id, count(*) n from article_embeddings where article_id is not null group by 1)
+select r.id, r.url, r.keeper, place = 1 as kept, case when place = 1 then coalesce(v.n, 0) else 0 end as vectors_kept, case when place > 1 then coalesce(v.n, 0) else 0 end as vectors_deleted, case when place > 1 then {_EPOCH} else -1 end as body_expires_us
+from r left join v on v.article_id = r.id""")
+def q87_url_migration(spark, d):
+    """Articles of one address merged: the best stays, of the others vectors are deleted and bodies expire."""
+    url = F.concat(F.lit("https://"), "source_id", F.lit(".example/p/"), F.substring("id", 1, 2))
+    arts = articles(spark, d).filter("source_id is not null").select("id", url.alias("url"), F.coalesce("intrinsic", F.lit(-1.0)).alias("q"))
+    vecs = read(spark, d, "article_embeddings").filter("article_id is not null").groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    out = rel.merged(arts, "url", F.struct(-F.col("q"), "id"), "id").join(vecs, "id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select("id", "url", "keeper", "kept", F.when(F.col("kept"), n).otherwise(0).alias("vectors_kept"), F.when(F.col("kept"), 0).otherwise(n).alias("vectors_deleted"), F.when(F.col("kept"), -1).otherwise(F.lit(_EPOCH).cast("long")).alias("body_expires_us"))
