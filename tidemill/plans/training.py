@@ -7,6 +7,7 @@ an article stands for one reaction. Weights are fitted on the driver from sums o
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -117,6 +118,17 @@ def few(df: DataFrame) -> DataFrame:
 
 def slate_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The best of the gated pool with all parts of their score."""
+    with ThreadPoolExecutor(1) as beside:  # the fit needs nothing of the pool
+        fitted = beside.submit(model, spark, d)
+        known, past, signals = _pool_with_signals(spark, d)
+        weights, n = fitted.result()
+    complete = F.forall(F.array(*SCORES), lambda x: x.isNotNull()) & F.col("word_count").isNotNull() & F.col("vec").isNotNull()
+    fit = learning.personal_fit(learning.article_features(F.col("vec"), SCORES), weights, learning.influence(n))
+    full = known.withColumn("personal_fit", F.when(complete, fit).otherwise(0.0)).drop("vec").join(F.broadcast(signals.drop("similarity")), "id")
+    return ranking.ranked(full, past, now())
+
+
+def _pool_with_signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     arts = articles(spark, d)
     past = few(history(arts))  # a row a day of sixty
     pool = few(gated(arts).orderBy(F.col("intrinsic").desc(), "id").limit(CANDIDATES).drop("secondary_themes"))
@@ -125,11 +137,7 @@ def slate_candidates(spark: SparkSession, d: str) -> DataFrame:
     recent = last.join(vecs, "id").collect()
     known = pool.join(vecs, "id", "left").withColumnRenamed("projection", "vec")
     signals = ranking.semantic_signals(known.select("id", "vec"), [list(r["projection"]) for r in recent], vectors.cosine)
-    weights, n = model(spark, d)
-    complete = F.forall(F.array(*SCORES), lambda x: x.isNotNull()) & F.col("word_count").isNotNull() & F.col("vec").isNotNull()
-    fit = learning.personal_fit(learning.article_features(F.col("vec"), SCORES), weights, learning.influence(n))
-    full = known.withColumn("personal_fit", F.when(complete, fit).otherwise(0.0)).drop("vec").join(F.broadcast(signals.drop("similarity")), "id")
-    return ranking.ranked(full, past, now())
+    return known, past, signals
 
 
 @query("with " + ART + "," + FEATURES + """, spine as (select id, unnest(range(84)) i from heads)
