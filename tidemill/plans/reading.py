@@ -220,7 +220,7 @@ def q76_sitemap_union(spark, d):
     n = one.withColumn("link", F.concat(F.lit("https://"), "source_id", F.lit(".example/p/"), slug, "article_id")).withColumn("k", F.row_number().over(W.partitionBy("source_id").orderBy("article_id")))
     maps = n.groupBy("source_id").agg(feeds.sitemap(F.transform(F.array_sort(F.collect_list(F.struct("k", "link"))), lambda s: s["link"])).alias("body")).withColumn("status", F.lit(200))
     found = maps.select("source_id", F.posexplode(feeds.sitemap_links(F.col("body"), F.concat(F.lit("https://"), "source_id", F.lit(".example")))).alias("place", "link"))
-    return ad.filled_up(n.filter("k <= 3").select("source_id", "link", "title"), found, "^(?:hidden-)?open-thread(?:-|$)|^links-for-|survey(?:-|$)", 40).select("source_id", "link", "title")
+    return ad.filled_up(n.filter("k <= 3").select("source_id", "link", "title"), found, ad.NO_ARTICLES, 40).select("source_id", "link", "title")
 
 
 @query(f"""

@@ -23,6 +23,8 @@ MOST_BYTES = 2_000_000
 # Statuses that end a scan behind its first page, and least words with the confidence they give.
 ENDS = (403, 404, 429)
 CONFIDENCE = {"feed": [(600, 0.99), (200, 0.98), (80, 0.95), (30, 0.91)], "page": [(200, 0.98), (80, 0.93)], "post": [(200, 0.99), (80, 0.95)], "short": [(150, 0.96)], "essay": [(301, 0.98)]}
+# Fixed value: names of posts that are no articles.
+NO_ARTICLES = r"(?i)^(?:hidden-)?open-thread(?:-|$)|^links-for-|meetups?-everywhere|survey(?:-|$)|call-for-organizers|classifieds(?:-|$)"
 LEAST_CONFIDENCE = {"feed": 0.75, "page": 0.8, "post": 0.82, "short": 0.9, "essay": 0.91}
 
 
