@@ -215,6 +215,7 @@ def classes(records: DataFrame, scratch: Scratch, setup: Setup) -> Classes:
     reps = scratch.cut(reps)
     chosen = sketched.join(reps.select(F.col("rep").alias("id"), "hi", "lo"), ["id", "hi", "lo"]).dropDuplicates(["id"])
     chosen = scratch.cut(chosen.select("id", "size", "signature", "bands"))
+    scratch.drop(sketched)  # members and the chosen rows are tables of their own
 
     banded = chosen.select("id", F.explode("bands").alias("band"))
     alike = lambda: F.least("size_a", "size_b") >= s * F.greatest("size_a", "size_b")
@@ -222,6 +223,7 @@ def classes(records: DataFrame, scratch: Scratch, setup: Setup) -> Classes:
     slack = 5 * float(np.sqrt(s * (1 - s) / setup.registers))
     near = scratch.cut(buckets.pairs(banded, chosen.select("id", "size", "signature"), setup.registers, s - slack, scratch, alike))
 
+    scratch.drop(chosen)
     involved = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     latest = records.join(involved, "id", "left_semi")
     latest = latest.groupBy("id").agg(F.max_by("text", F.struct("version", F.length("text"), "text")).alias("text"))
