@@ -213,7 +213,10 @@ def repeated_lines(articles: DataFrame, scratch: Scratch, least_articles: int =
     hits = lines.drop("signature").join(size_checked(wanted, MOST_BROADCAST), "node")
     counted = hits.groupBy("root", "source_articles", "article_id").agg(F.lit(1).alias("one")).groupBy("root", "source_articles").agg(F.count("one").alias("n")).filter(enough)
     counted = scratch.cut(counted.select("root", F.col("n").alias("cluster_articles")))
-    return scratch.cut(hits.join(size_checked(counted, MOST_BROADCAST), "root").select("source_id", "article_id", "hi", "lo", "places", "cluster_articles", "source_articles"))
+    repeated = scratch.cut(hits.join(size_checked(counted, MOST_BROADCAST), "root").select("source_id", "article_id", "hi", "lo", "places", "cluster_articles", "source_articles"))
+    for done in (lines, nodes, wanted, counted):
+        scratch.drop(done)
+    return repeated
 
 
 def exact_lines(repeated: DataFrame, least_articles: int = 3, least_percent: int = 5) -> DataFrame:
