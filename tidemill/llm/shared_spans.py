@@ -199,6 +199,7 @@ def repeated_windows(documents: DataFrame, scratch: Scratch, id: str = "doc_id",
     held = narrow.join(repeated, "hash").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("w"))
     # Two plain arrays are a third of an array of structs when they are broadcast.
     held = scratch.cut(held.select("id", F.transform("w", lambda w: w["place"]).alias("places"), F.transform("w", lambda w: w["hash"]).alias("hashes")))
+    scratch.drop(narrow)
     texts = chosen.join(size_checked(held, MOST_BROADCAST, MOST_BYTES), "id")
 
     def surroundings(part: pa.RecordBatch) -> dict:
